@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_files
+from . import exact, mixing, quality, token_files
 from .shared import documents
 
 
@@ -23,6 +23,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op5_mix": mixing.op5_mix,
+    "op9_quality": quality.op9_quality,
+    "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.OP5_SQL, "op9_quality": quality.OP9_SQL, "op10_exact_dedup": exact.OP10_SQL}
