@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, quality, token_files
+from . import exact, mixing, prefix_bpe, quality, token_files
 from .shared import documents
 
 
@@ -20,9 +20,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(spark, documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.encoded_digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op5_mix": mixing.op5_mix,
+    "op7_bpe": op7_bpe,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
