@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, prefix_bpe, quality, token_files
+from . import exact, mixing, prefix_bpe, quality, token_files, warc
 from .shared import documents
 
 
@@ -26,10 +26,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op4_warc": warc.op4_warc,
     "op5_mix": mixing.op5_mix,
     "op7_bpe": op7_bpe,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.OP5_SQL, "op9_quality": quality.OP9_SQL, "op10_exact_dedup": exact.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op5_mix": mixing.OP5_SQL, "op9_quality": quality.OP9_SQL, "op10_exact_dedup": exact.OP10_SQL}
