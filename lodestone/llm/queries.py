@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, prefix_bpe, quality, token_files, warc
+from . import exact, mixing, phrases, prefix_bpe, quality, suffixes, token_files, warc
 from .shared import documents
 
 
@@ -26,8 +26,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_phrases": phrases.op2_phrases,
     "op4_warc": warc.op4_warc,
     "op5_mix": mixing.op5_mix,
+    "op6_suffixes": suffixes.op6_suffixes,
     "op7_bpe": op7_bpe,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact.op10_exact_dedup,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,10 +28,15 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def keep_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: what follows has no lineage to lose."""
+    """Write ``df`` as Parquet in the shared folder and read it back: what follows has no lineage to lose.
+
+    Shuffle files of the jobs behind it are of no more use; a collection of the driver's garbage lets Spark drop them.
+    """
     spark = df.sparkSession
     path = run_dir(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
