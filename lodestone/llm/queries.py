@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, phrases, prefix_bpe, quality, suffixes, token_files, warc
+from . import exact, mixing, near, phrases, prefix_bpe, quality, suffixes, token_files, warc
 from .shared import documents
 
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix": mixing.op5_mix,
     "op6_suffixes": suffixes.op6_suffixes,
     "op7_bpe": op7_bpe,
+    "op8_near": near.op8_near,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
