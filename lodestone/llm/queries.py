@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, near, phrases, prefix_bpe, quality, suffixes, token_files, warc
+from . import exact, mixing, near, phrases, prefix_bpe, quality, secret_scan, suffixes, token_files, warc
 from .shared import documents
 
 
@@ -27,6 +27,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_phrases": phrases.op2_phrases,
+    "op3_secrets": secret_scan.op3_secrets,
     "op4_warc": warc.op4_warc,
     "op5_mix": mixing.op5_mix,
     "op6_suffixes": suffixes.op6_suffixes,
