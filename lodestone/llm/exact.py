@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from .shared import GAP_CHARS, keep_table, run_dir, text_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB; without space set aside in advance, of which every store would take some megabytes.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 EVENTS = "doc_id long, row_key string, digest string, n_points long"
 
 
@@ -61,8 +65,9 @@ def streamed_state(seen: DataFrame, files_a_batch: int = 64) -> DataFrame:
     spark = seen.sparkSession
     folder = run_dir(spark, "exact-stream")
     source = seen.inputFiles()[0].rsplit("/", 1)[0]
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
         entries = stream.groupBy("digest").agg(F.count("*").alias("n"), best().alias("best"))
@@ -73,7 +78,11 @@ def streamed_state(seen: DataFrame, files_a_batch: int = 64) -> DataFrame:
         query = entries.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     entries = spark.read.parquet(f"{folder}/entries")
     if len(entries.select("batch").distinct().take(2)) > 1:
         # Counts of a digest only grow.
