@@ -74,7 +74,7 @@ def test_confirmation(spark):
 
 def test_text(spark):
     assert one(spark, text.normal_form, "Kṛṣṇa  UVĀCA\n") == "krsna uvaca"
-    assert one(spark, text.cleaned, " a1  <b>c</b>&nbsp; d।") == "a cd"
+    assert one(spark, text.cleaned, " a1  <b>c</b>&nbsp; d।") == "a c d"
     assert one(spark, text.script, "धर्म") == "devanagari"
     assert one(spark, lambda c: text.split_compounds(c), "pramada devatvatva a") == ["pra", "mada", "devatva", "tva", "a"]
     assert text.to_iast("धर्मक्षेत्रे", "devanagari") == "dharmakṣetre"
