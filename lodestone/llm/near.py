@@ -27,9 +27,11 @@ BANDS, ROWS = 32, 4
 #: The scale of registers: base, rate and greatest value.
 SCALE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair is dropped unconfirmed if its registers are this much likelier, in logarithms, under another similarity than under the threshold.
-UNLIKELY = 24.0
+UNLIKELY = 12.0
 #: Members of a bucket that are compared with each other in one go.
 BLOCK = 64
+#: Rounds in which the members of a bucket that are not joined yet are compared with one member drawn by lot.
+DRAWS = 4
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
@@ -119,7 +121,7 @@ def representatives(rows: DataFrame) -> DataFrame:
 
 def banded(reps: DataFrame) -> DataFrame:
     keys = [F.xxhash64(F.lit(b), F.substring("registers", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)]
-    return reps.select("vertex", F.explode(F.array(*keys)).alias("key"))
+    return reps.select("vertex", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
 def hub_pairs(buckets: DataFrame) -> DataFrame:
@@ -128,6 +130,21 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(hubs, F.col("key") == F.col("of")).filter("vertex > x").select("x", F.col("vertex").alias("y")).distinct()
 
 
+def still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """band, key, vertex and root of the members of buckets that links have not joined to one component."""
+    rooted = buckets.select("band", "key", "vertex").join(found, F.col("vertex") == F.col("node"), "left").select("band", "key", "vertex", F.coalesce("root", "vertex").alias("root"))
+    still = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select(F.col("key").alias("of"))
+    return rooted.join(still, F.col("key") == F.col("of")).drop("of")
+
+
+def drawn_pairs(opened: DataFrame, draw: int) -> DataFrame:
+    """Each member of an open bucket with one of its members drawn by lot, another in each bucket and draw, if they are not joined."""
+    lot = F.xxhash64("vertex", "key", F.lit(draw))
+    hubs = opened.groupBy("key").agg(F.min(F.struct(lot.alias("lot"), "vertex", "root")).alias("h")).select(F.col("key").alias("of"), F.col("h.vertex").alias("hub"), F.col("h.root").alias("hub_root"))
+    met = opened.join(hubs, F.col("key") == F.col("of")).filter("root <> hub_root")
+    return met.select(F.least("hub", "vertex").alias("x"), F.greatest("hub", "vertex").alias("y")).distinct()
+
+
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose registers do not rule the similarity out."""
 
@@ -168,38 +185,59 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return first.join(texts.select(F.col("vertex").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty").mapInArrow(read, "u long, v long")
 
 
-def texts_of(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """vertex and text of each vertex of ``pairs``."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("vertex")).distinct().join(reps.select("vertex", "owner", "tid"), "vertex")
+def texts_of(docs: DataFrame, reps: DataFrame, vertices: DataFrame) -> DataFrame:
+    """vertex and text of each of ``vertices(vertex)``."""
+    wanted = vertices.distinct().join(reps.select("vertex", "owner", "tid"), "vertex")
     rows = docs.select(text_id(docs).alias("of"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_of(docs).alias("text"))
     return rows.join(wanted, (F.col("id") == F.col("owner")) & (F.col("of") == F.col("tid"))).select("vertex", "text").dropDuplicates(["vertex"])
 
 
-def open_pairs(buckets: DataFrame, reps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket whose members are not joined yet and whose registers do not rule the similarity out.
+def only_here(texts: DataFrame) -> DataFrame:
+    """vertex, own: how many of its shingles no other of the ``texts`` has.  Those can be in common with none of them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 128):
+                part = b.slice(k, 128)
+                sets = [shingles(x.as_py()) for x in part[1]]
+                vertices = np.repeat(np.array(part[0].to_pylist(), np.int64), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.array(np.concatenate(sets).view(np.int64))], names=["vertex", "shingle"])
+
+    rows = texts.select("vertex", "text").mapInArrow(read, "vertex long, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("times"), F.min("vertex").alias("vertex")).filter("times = 1")
+    return once.groupBy("vertex").agg(F.count("*").alias("own"))
+
 
-    A bucket goes to tasks in pairs of blocks of members, so no task gets more of it than two blocks, and only pairs that
-    may be links leave a task.  Buckets whose members are all joined, such as those of a large group of copies, are not looked at again.
+def open_pairs(opened: DataFrame, reps: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs of an open bucket that are not joined yet and that neither sizes nor registers rule out.
+
+    Two sets have at most those shingles in common that are not a member's own; copies changed apart from each other
+    have shingles of their own, so this settles most of a large group.  A bucket goes to tasks in pairs of blocks of members, so no task gets
+    more of it than two blocks; a pair is looked at in the first band it shares, and only pairs that may be links leave a task.
     """
-    root = buckets.join(found, F.col("vertex") == F.col("node"), "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root"))
-    still = root.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a < b")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = root.join(still.select(F.col("key").alias("of"), blocks.alias("blocks")), F.col("key") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = rows.select("key", "vertex", "root", "mine", other.alias("other")).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "vertex", "root", "mine")
-    full = spread.join(reps.select("vertex", "n", "registers"), "vertex").select("key", "i", "j", "vertex", "root", "mine", "n", "registers")
+    sized = opened.join(own, "vertex", "left").join(reps.select("vertex", "n", "registers"), "vertex").withColumn("free", F.col("n") - F.coalesce("own", F.lit(0)))
+    # All that a set has in common with another is free: it may reach the threshold with one of that size at best.
+    able = sized.filter(100 * F.col("free") >= percent * F.col("n"))
+    still = able.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a < b").select(F.col("key").alias("of"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = able.join(still, F.col("key") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("blocks")).cast("int"))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "vertex", "root", "mine", "n", "free", "registers")
 
     def compare(members: list[tuple]) -> pa.RecordBatch:
-        at = np.array([m[3] for m in members])
-        roots, sizes = np.array([m[4] for m in members]), np.array([m[6] for m in members], np.float64)
-        block = np.array([m[5] for m in members])
-        grid = np.frombuffer(b"".join(m[7] for m in members), np.uint16).reshape(len(members), REGISTERS)
-        one, two = block == members[0][1], block == members[0][2]
+        i, j, band = members[0][1], members[0][2], members[0][3]
+        at, roots, block = (np.array([m[c] for m in members]) for c in (4, 5, 6))
+        sizes, free = (np.array([m[c] for m in members], np.float64) for c in (7, 8))
+        grid = np.frombuffer(b"".join(m[9] for m in members), np.uint16).reshape(len(members), REGISTERS)
+        bands = grid[:, : BANDS * ROWS].reshape(len(members), BANDS, ROWS)
+        two = block == j
         xs, ys = [], []
-        for k in np.flatnonzero(one):
+        for k in np.flatnonzero(block == i):
             # Within a block, and between two, each pair once.
-            near = two & (roots != roots[k]) & ((at > at[k]) if members[0][1] == members[0][2] else True)
-            near = np.flatnonzero(near)
+            near = np.flatnonzero(two & (roots != roots[k]) & ((at > at[k]) if i == j else True))
+            most = np.minimum(free[near], free[k])
+            near = near[100 * most >= percent * (sizes[near] + sizes[k] - most)]
+            if len(near):
+                near = near[(bands[near] == bands[k]).all(-1).argmax(1) == band]
             if len(near):
                 near = near[may_reach(grid[k][None, :], grid[near], np.full(len(near), sizes[k]), sizes[near], percent)]
                 xs.append(np.minimum(at[k], at[near]))
@@ -232,15 +270,23 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = keep_table(sketches(docs), "near-sketches")
     reps = keep_table(representatives(rows), "near-sets")
     buckets = banded(reps)
-    stars = keep_table(likely(hub_pairs(buckets), reps, percent), "near-stars")
-    texts = keep_table(texts_of(docs, reps, stars), "near-texts")
-    links = keep_table(confirmed(stars, texts, percent), "near-links")
-    found = components(links, "near-components")
-    rest = open_pairs(buckets, reps, found, percent).alias("p")
-    rest = keep_table(rest.join(stars.alias("s"), (F.col("p.x") == F.col("s.x")) & (F.col("p.y") == F.col("s.y")), "left_anti"), "near-open")
-    if not rest.isEmpty():
-        more = keep_table(confirmed(rest, keep_table(texts_of(docs, reps, rest), "near-texts"), percent), "near-links")
-        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "near-components")
+    tried = keep_table(likely(hub_pairs(buckets), reps, percent), "near-stars")
+    texts = keep_table(texts_of(docs, reps, tried.select(F.explode(F.array("x", "y")).alias("vertex"))), "near-texts")
+    found = components(keep_table(confirmed(tried, texts, percent), "near-links"), "near-components")
+    opened = keep_table(still_open(buckets, found), "near-open")
+    texts = keep_table(texts_of(docs, reps, opened.select("vertex")), "near-texts")
+    joined = lambda links: components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(keep_table(links, "near-links")), "near-components")
+    fresh = lambda pairs: pairs.join(tried, ["x", "y"], "left_anti")
+    for draw in range(DRAWS):
+        if opened.isEmpty():
+            break
+        drawn = keep_table(likely(fresh(drawn_pairs(opened, draw)), reps, percent), "near-drawn")
+        found, tried = joined(confirmed(drawn, texts, percent)), tried.unionByName(drawn)
+        opened = keep_table(still_open(opened, found), "near-open")
+    if not opened.isEmpty():
+        rest = keep_table(fresh(open_pairs(opened, reps, only_here(texts), percent)), "near-rest")
+        if not rest.isEmpty():
+            found = joined(confirmed(rest, texts, percent))
     owners = reps.select("vertex", "set_id", "owner").join(found, F.col("vertex") == F.col("node"), "left").withColumn("root", F.coalesce("root", "vertex"))
     # Only vertices of links need a group's smallest id; the others have their own.
     joined = found.select("root").union(found.select("node")).distinct().withColumnRenamed("root", "v")
