@@ -138,8 +138,8 @@ def still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def drawn_pairs(opened: DataFrame, draw: int) -> DataFrame:
-    """Each member of an open bucket with one of its members drawn by lot, another in each bucket and draw, if they are not joined."""
-    lot = F.xxhash64("vertex", "key", F.lit(draw))
+    """Each member of an open bucket with one of its members drawn by lot, if they are not joined; buckets that share members mostly draw the same one."""
+    lot = F.xxhash64("vertex", F.lit(draw))
     hubs = opened.groupBy("key").agg(F.min(F.struct(lot.alias("lot"), "vertex", "root")).alias("h")).select(F.col("key").alias("of"), F.col("h.vertex").alias("hub"), F.col("h.root").alias("hub_root"))
     met = opened.join(hubs, F.col("key") == F.col("of")).filter("root <> hub_root")
     return met.select(F.least("hub", "vertex").alias("x"), F.greatest("hub", "vertex").alias("y")).distinct()
