@@ -33,6 +33,20 @@ def first_half(text: Column) -> Column:
     return F.when(F.size(w) > 4, F.array_join(F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")), " ")).otherwise(text)
 
 
+def with_next(docs: DataFrame, parts: int = 64) -> DataFrame:
+    """``docs(doc_id, text)`` with next_text, the text of the next document in the order of ids; the last has that of the first, a single one null.
+
+    Ranges of ids are put in order each, and the last of a range takes the first of the next one.
+    """
+    cuts = sorted(set(docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.001)))
+    ranged = docs.withColumn("part", sum((F.coalesce(F.col("doc_id") >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))).withColumn("digest", F.md5("text"))
+    firsts = ranged.groupBy("part").agg(F.min(F.struct(F.col("doc_id"), F.col("digest"), F.col("text"))).alias("first"), F.count("*").alias("n"))
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = firsts.select("part", F.when(F.sum("n").over(every) > 1, F.coalesce(F.lead("first.text").over(Window.orderBy("part")), F.first("first.text").over(every))).alias("after"))
+    order = Window.partitionBy("part").orderBy("doc_id", "digest")
+    return ranged.withColumn("next_text", F.lead("text").over(order)).join(F.broadcast(ends), "part").withColumn("next_text", F.coalesce("next_text", "after")).drop("part", "digest", "after")
+
+
 def query_variants(docs: DataFrame) -> DataFrame:
     """doc_id, variant: the words whole, their first quarter, half and three quarters, last half, middle, and windows of up to five."""
     words = docs.select("doc_id", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w")).filter("n >= 4")

@@ -763,28 +763,39 @@ def semantic_substitutions(spark, sf_dir):
 
 
 def labelled_pairs(spark, sf_dir):
-    """Half-text queries of documents with their own text and with that of the next document: positive and negative pairs, each with a score."""
+    """Half-text queries of every fifth document by id, as LABELLED_CTE has it, with their own text and with that of id + 5; ``all_pairs`` has those of all documents."""
     docs = corpus_of(spark, sf_dir).filter("doc_id % 5 = 0 AND length(text) > 0")
     own = docs.select("doc_id", datasets.first_half(F.col("text")).alias("query"), F.col("text").alias("passage"), F.lit(1).alias("label"))
     other = docs.select((F.col("doc_id") - 5).alias("doc_id"), F.col("text").alias("passage"))
     return own.unionByName(own.drop("passage").withColumn("label", F.lit(0)).join(other, "doc_id"))
 
 
+def all_pairs(spark, sf_dir):
+    """Half-text queries of all documents that have text, with their own text and with that of the next document in the order of ids."""
+    docs = corpus_of(spark, sf_dir).filter("length(text) > 0")
+    paired = datasets.with_next(docs).withColumn("query", datasets.first_half(F.col("text")))
+    own = paired.select("doc_id", "query", F.col("text").alias("passage"), F.lit(1).alias("label"))
+    return own.unionByName(paired.filter("next_text IS NOT NULL").select("doc_id", "query", F.col("next_text").alias("passage"), F.lit(0).alias("label")))
+
+
 LABELLED_CTE = f"""ld AS (SELECT doc_id, text AS passage, CASE WHEN len({tok('text')}) > 4 THEN array_to_string({tok('text')}[1:len({tok('text')}) // 2], ' ') ELSE text END AS query FROM documents WHERE doc_id % 5 = 0 AND length(text) > 0),
     lp AS (SELECT doc_id, query AS q, passage AS p, 1 AS label FROM ld UNION ALL SELECT a.doc_id, a.query, b.passage, 0 FROM ld a JOIN ld b ON b.doc_id = a.doc_id + 5),
     sc AS (SELECT doc_id, doc_id AS query_id, label, label AS relevance, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS slice, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS model, round(CASE WHEN len(list_distinct({QW})) > 0 THEN len(list_intersect(list_distinct({QW}), list_distinct({PW}))) / len(list_distinct({QW})) ELSE 0 END, 6)::DOUBLE AS score FROM lp)"""
 
 
-def scored_pairs(spark, sf_dir):
-    p = labelled_pairs(spark, sf_dir)
+ALL_LABELLED_CTE = LABELLED_CTE.replace("doc_id % 5 = 0 AND ", "").replace("SELECT a.doc_id, a.query, b.passage, 0 FROM ld a JOIN ld b ON b.doc_id = a.doc_id + 5", "SELECT doc_id, query, coalesce(lead(passage) OVER (ORDER BY doc_id, md5(passage)), first(passage) OVER (ORDER BY doc_id, md5(passage))), 0 FROM ld WHERE (SELECT count(*) FROM ld) > 1")
+
+
+def scored_pairs(spark, sf_dir, made=labelled_pairs):
+    p = made(spark, sf_dir)
     score = pairs.basic_lexical(F.col("query"), F.col("passage"))["word_overlap"]
     return p.select("doc_id", F.col("doc_id").alias("query_id"), "label", F.col("label").alias("relevance"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("slice"), F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("model"), F.round(score, 6).alias("score"))
 
 
 @registered(f"""WITH {LABELLED_CTE}, l AS (SELECT doc_id, q AS query, label, CASE WHEN label = 1 THEN 'easy' ELSE 'hard' END AS difficulty FROM lp), c AS (SELECT *, count(*) OVER (PARTITION BY query) AS group_size FROM l)
     SELECT doc_id, label, group_size, CAST(CASE WHEN label = 1 THEN 2 ELSE 0 END AS INT) AS relevance FROM c WHERE group_size >= 2""")
-def ltr_groups(spark, sf_dir):
-    p = labelled_pairs(spark, sf_dir).withColumn("difficulty", F.when(F.col("label") == 1, "easy").otherwise("hard"))
+def ltr_groups(spark, sf_dir, made=labelled_pairs):
+    p = made(spark, sf_dir).withColumn("difficulty", F.when(F.col("label") == 1, "easy").otherwise("hard"))
     return datasets.ltr_groups(p).select("doc_id", "label", "group_size", "relevance")
 
 
@@ -792,8 +803,8 @@ def ltr_groups(spark, sf_dir):
     pos AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY lot, doc_id, q) > CASE difficulty WHEN 'easy' THEN 9 WHEN 'medium' THEN 12 ELSE 9 END AS late FROM l WHERE label = 1),
     pt AS (SELECT doc_id, label, difficulty FROM pos ORDER BY late, lot, doc_id, q LIMIT 30), nt AS (SELECT doc_id, label, difficulty FROM l WHERE label = 0 ORDER BY md5('42|' || doc_id || '|' || q || '|' || p), doc_id, q LIMIT 70)
     SELECT * FROM pt UNION ALL SELECT * FROM nt""")
-def balanced_pairs(spark, sf_dir):
-    p = labelled_pairs(spark, sf_dir).withColumn("difficulty", F.when(F.col("doc_id") % 3 == 0, "easy").when(F.col("doc_id") % 3 == 1, "medium").otherwise("hard"))
+def balanced_pairs(spark, sf_dir, made=labelled_pairs):
+    p = made(spark, sf_dir).withColumn("difficulty", F.when(F.col("doc_id") % 3 == 0, "easy").when(F.col("doc_id") % 3 == 1, "medium").otherwise("hard"))
     return datasets.balanced(p.filter("label = 1"), p.filter("label = 0"), 100).select("doc_id", "label", "difficulty")
 
 
@@ -825,30 +836,36 @@ def classification_sql(by: str = "") -> str:
 
 
 @registered(f"WITH {LABELLED_CTE} SELECT * FROM {classification_sql()}")
-def classification_metrics(spark, sf_dir):
-    return metrics.classification(scored_pairs(spark, sf_dir))
+def classification_metrics(spark, sf_dir, made=labelled_pairs):
+    return metrics.classification(scored_pairs(spark, sf_dir, made))
 
 
 @registered(f"WITH {LABELLED_CTE} SELECT * FROM {classification_sql('slice')}")
-def metrics_by_slice(spark, sf_dir):
-    return metrics.classification(scored_pairs(spark, sf_dir), ["slice"])
+def metrics_by_slice(spark, sf_dir, made=labelled_pairs):
+    return metrics.classification(scored_pairs(spark, sf_dir, made), ["slice"])
 
 
 @registered(f"WITH {LABELLED_CTE} SELECT model, round(accuracy, 4) AS accuracy, round(\"precision\", 4) AS \"precision\", round(recall, 4) AS recall, round(f1, 4) AS f1, row_number() OVER (ORDER BY round(f1, 4) DESC, model) = 1 AS best FROM {classification_sql('model')}")
-def model_compare(spark, sf_dir):
-    return metrics.compare_models(scored_pairs(spark, sf_dir))
+def model_compare(spark, sf_dir, made=labelled_pairs):
+    return metrics.compare_models(scored_pairs(spark, sf_dir, made))
 
 
 @registered(f"WITH {LABELLED_CTE} SELECT round(avg(CASE WHEN p.score > m.score THEN 1.0 WHEN p.score = m.score THEN 0.5 ELSE 0.0 END), 6)::DOUBLE AS auc FROM sc p, sc m WHERE p.label = 1 AND m.label = 0")
-def auc(spark, sf_dir):
-    return metrics.auc(scored_pairs(spark, sf_dir))
+def auc(spark, sf_dir, made=labelled_pairs):
+    return metrics.auc(scored_pairs(spark, sf_dir, made))
 
 
 @registered(f"""WITH {LABELLED_CTE}, m AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS many, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS r, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC) AS i, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS fr, avg(relevance) OVER (PARTITION BY query_id, score) AS g FROM sc),
     s AS (SELECT query_id, sum(CASE WHEN r <= 5 THEN g / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 5 THEN relevance / log2(i + 1) ELSE 0 END) AS best, min(CASE WHEN relevance > 0 THEN fr END) AS hit FROM m WHERE many >= 2 GROUP BY query_id)
     SELECT round(avg(CASE WHEN best > 0 THEN dcg / best ELSE 0 END), 6) AS ndcg, round(avg(coalesce(1 / hit, 0)), 6) AS mrr, round(avg((coalesce(hit, 0) = 1)::INT), 6) AS precision_1 FROM s""")
-def ndcg_at_5(spark, sf_dir):
-    return metrics.ranking(scored_pairs(spark, sf_dir))
+def ndcg_at_5(spark, sf_dir, made=labelled_pairs):
+    return metrics.ranking(scored_pairs(spark, sf_dir, made))
+
+
+# The queries above take what their SQL takes; these have the pairs of all documents.
+for made_of in (classification_metrics, metrics_by_slice, model_compare, auc, ndcg_at_5, ltr_groups, balanced_pairs):
+    QUERIES[f"{made_of.__name__}_all"] = lambda spark, sf_dir, query=made_of: query(spark, sf_dir, all_pairs)
+    ORACLE_SQL[f"{made_of.__name__}_all"] = ORACLE_SQL[made_of.__name__].replace(LABELLED_CTE, ALL_LABELLED_CTE)
 
 
 # Models and the whole way
@@ -857,7 +874,7 @@ BASIC = ["word_overlap", "jaccard", "query_length", "passage_length", "length_ra
 
 
 def learning_rows(spark, sf_dir):
-    p = labelled_pairs(spark, sf_dir)
+    p = all_pairs(spark, sf_dir)
     made = pairs.basic_lexical(F.col("query"), F.col("passage"))
     return p.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") * 2 + F.col("label")).alias("doc_id"), F.col("label").cast("double").alias("label"), F.col("label").alias("relevance"), *[made[k].cast("double").alias(k) for k in BASIC])
 
