@@ -123,11 +123,12 @@ def word_ngrams(docs: DataFrame, low: int = 3, high: int = 20, longest: int = 20
     return sized.select("doc_id", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("start")).select("doc_id", "n", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("gram"))
 
 
-def partial_search(docs: DataFrame, queries: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+def partial_search(docs: DataFrame, queries: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, wide: bool = False) -> DataFrame:
     """query_id, doc_id, score, at: the largest part of a query's words that stand in a document at the query's distances.
 
     Words meet in a join, and every offset of the query in the document is a group.  An offset counts if two neighbouring
-    windows cover the query there; in a document of one window, if all the query's words that the corpus has, its first among them, are in it.
+    windows cover the query there; with ``wide``, a query longer than two windows counts wherever it fits in the document, as if the
+    windows were as long as it needs, and else it has no match.  In a document of one window, an offset counts if all the query's words that the corpus has, its first among them, are in it.
     """
     step = window - overlap
     words = docs.select("doc_id", tokens(F.lower("text")).alias("w"))
@@ -138,7 +139,10 @@ def partial_search(docs: DataFrame, queries: DataFrame, window: int = WINDOW, ov
     # The last pair of windows that starts no later than the offset reaches furthest.
     pair = F.least(F.floor(F.col("at") / step), F.ceil(F.col("n") / step) - 2)
     covered = (F.col("at") >= 0) & (F.col("at") + F.col("qlen") <= F.least((pair + 1) * step + window, F.col("n")))
-    many = offsets.filter((F.col("n") > step) & covered & (F.col("qlen") <= 2 * window - overlap))
+    fits = covered & (F.col("qlen") <= 2 * window - overlap)
+    if wide:
+        fits = fits | ((F.col("qlen") > 2 * window - overlap) & (F.col("at") >= 0) & (F.col("at") + F.col("qlen") <= F.col("n")))
+    many = offsets.filter((F.col("n") > step) & fits)
     known = d.select("word").distinct()
     needs = q.join(known, "word", "left_semi").groupBy("query_id").agg(F.countDistinct("word").alias("needs"), F.max(F.when(F.col("qpos") == 0, 1).otherwise(0)).alias("has_first"))
     has = d.filter(F.col("n") <= step).join(q, "word").groupBy("query_id", "doc_id").agg(F.countDistinct("word").alias("has"))
@@ -176,7 +180,7 @@ def expand_synonyms(queries: DataFrame, table: dict[str, list[str]] = SYNONYMS)
     return queries.select("query_id", F.explode(F.array_distinct(F.concat(F.array("query"), *lists))).alias("variant"))
 
 
-def fused_search(docs: DataFrame, queries: DataFrame, k: int, table: dict[str, list[str]] = SYNONYMS, weights: dict[str, float] = WEIGHTS, use_partial: bool = True, variants: DataFrame | None = None) -> DataFrame:
+def fused_search(docs: DataFrame, queries: DataFrame, k: int, table: dict[str, list[str]] = SYNONYMS, weights: dict[str, float] = WEIGHTS, use_partial: bool = True, variants: DataFrame | None = None, wide: bool = False) -> DataFrame:
     """query_id, doc_id, score, base, partial, rank: BM25 and n-grams of all variants of a query, and partial matches of the query itself.
 
     Each variant's list of 2k is divided by its greatest score and weighted; an index of weight 0 is not searched.  What
@@ -196,7 +200,7 @@ def fused_search(docs: DataFrame, queries: DataFrame, k: int, table: dict[str, l
     base = parts.join(many, "query_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") / F.col("n_variants")).alias("base"))
     if not use_partial:
         return top(base.select("query_id", "doc_id", F.round("base", 6).alias("score"), F.round("base", 6).alias("base"), F.lit(None).cast("double").alias("partial")), k)
-    found = partial_search(docs, queries).filter("score > 0").select("query_id", "doc_id", F.col("score").alias("partial"))
+    found = partial_search(docs, queries, wide=wide).filter("score > 0").select("query_id", "doc_id", F.col("score").alias("partial"))
     both = base.join(found, ["query_id", "doc_id"], "full_outer")
     score = F.when(F.col("partial").isNull(), F.col("base")).when(F.col("base").isNull(), F.col("partial") * 0.8).otherwise(F.col("base") * 0.7 + F.col("partial") * 0.5)
     return top(both.select("query_id", "doc_id", F.round(score, 6).alias("score"), F.round("base", 6).alias("base"), F.round("partial", 6).alias("partial")), k)

@@ -32,7 +32,7 @@ class Engine:
     def search(self, queries: DataFrame, k: int = 100) -> DataFrame:
         """query_id, doc_id, score, rank of ``queries(query_id, query)``."""
         asked = queries.withColumn("query", query_form(F.col("query")))
-        hits = search.fused_search(self.docs, asked, k, self.synonyms)
+        hits = search.fused_search(self.docs, asked, k, self.synonyms, wide=True)
         if self.names is None:
             return hits
         features = graph.pair_features(hits, asked, self.docs, self.names, self.edges, self.entity_works)

@@ -323,15 +323,15 @@ PARTIAL_CTE = f"""pw AS (SELECT doc_id, {tok('lower(text)')} AS w FROM documents
 
 
 @registered(f'''WITH {SHORT_QUOTES}, {PARTIAL_CTE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS INT) AS "at" FROM pr WHERE score >= 0.25''')
-def partial_match(spark, sf_dir):
-    return search.partial_search(corpus_of(spark, sf_dir), quotes_of(spark, sf_dir, 8)).withColumn("score", F.round("score", 6)).filter("score >= 0.25")
+def partial_match(spark, sf_dir, words=8):
+    return search.partial_search(corpus_of(spark, sf_dir), quotes_of(spark, sf_dir, words), wide=not words).withColumn("score", F.round("score", 6)).filter("score >= 0.25")
 
 
 @registered(f"""WITH {SHORT_QUOTES}, {PARTIAL_CTE}, h AS ({ranked_sql('pr', 3)}), o AS (SELECT doc_id, {tok('text')} AS w FROM documents)
     SELECT query_id, doc_id, CAST(place AS INT) AS "at", array_to_string(w[greatest(0, place - 5) + 1:least(len(w), place + 5)], ' ') AS context FROM h JOIN o USING (doc_id)""")
-def match_context(spark, sf_dir):
+def match_context(spark, sf_dir, words=8):
     docs = corpus_of(spark, sf_dir)
-    return search.match_context(docs, search.top(search.partial_search(docs, quotes_of(spark, sf_dir, 8)), 3))
+    return search.match_context(docs, search.top(search.partial_search(docs, quotes_of(spark, sf_dir, words), wide=not words), 3))
 
 
 @registered("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
@@ -347,8 +347,8 @@ VARIANTS_SQL = "SELECT DISTINCT query_id, unnest(list_concat([query], " + "list_
 
 
 @registered(f"WITH {SHORT_QUOTES} {VARIANTS_SQL}")
-def synonym_expand(spark, sf_dir):
-    return search.expand_synonyms(quotes_of(spark, sf_dir, 8), TEST_SYNONYMS)
+def synonym_expand(spark, sf_dir, words=8):
+    return search.expand_synonyms(quotes_of(spark, sf_dir, words), TEST_SYNONYMS)
 
 
 def fused_sql(k: int) -> str:
@@ -364,16 +364,16 @@ def fused_sql(k: int) -> str:
 
 
 @registered(f"WITH {fused_sql(10)} SELECT query_id, doc_id, score, base, partial, rank FROM fused")
-def fused_search(spark, sf_dir):
-    return search.fused_search(corpus_of(spark, sf_dir), quotes_of(spark, sf_dir, 8), 10, TEST_SYNONYMS)
+def fused_search(spark, sf_dir, words=8):
+    return search.fused_search(corpus_of(spark, sf_dir), quotes_of(spark, sf_dir, words), 10, TEST_SYNONYMS, wide=not words)
 
 
 @registered(f"""WITH {SHORT_QUOTES}, d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, {tok('lower(text)')} AS w FROM documents), q AS (SELECT query_id, {tok('lower(query)')} AS ts FROM qs),
     p AS (SELECT query_id, doc_id, len(w) AS n, list_transform(ts, lambda t: CASE WHEN list_contains(w, t) THEN 2.0 WHEN contains(low, t) THEN 1.0 ELSE 0.0 END) AS pts FROM d, q),
     s AS (SELECT query_id, doc_id, round(list_sum(pts)::DOUBLE * CASE WHEN len(pts) > 1 AND len(list_filter(pts, lambda x: x > 0)) > 1 THEN 1 + 0.2 * len(list_filter(pts, lambda x: x > 0)) ELSE 1 END / (1 + n / 100), 6) AS score FROM p WHERE len(pts) > 0)
     SELECT query_id, doc_id, score, rank FROM ({ranked_sql('(SELECT * FROM s WHERE score > 0)', 10)})""")
-def simple_search(spark, sf_dir):
-    return search.simple_search(corpus_of(spark, sf_dir), quotes_of(spark, sf_dir, 8), 10)
+def simple_search(spark, sf_dir, words=8):
+    return search.simple_search(corpus_of(spark, sf_dir), quotes_of(spark, sf_dir, words), 10)
 
 
 OVERLAP_CTE = f"""od AS (SELECT doc_id, unnest(list_distinct({tok('lower(text)')})) AS word FROM documents), oq0 AS (SELECT query_id, list_distinct({tok('lower(query)')}) AS w FROM qs), oq AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM oq0),
@@ -484,9 +484,9 @@ def kg_common_works(spark, sf_dir):
     nb AS (SELECT * FROM (SELECT src AS entity, rel, dst, row_number() OVER (PARTITION BY src ORDER BY edge_ord, dst, rel) AS ord FROM edges) WHERE ord <= 5),
     v AS (SELECT query_id, CASE WHEN rel IN ('avatar_of', 'has_avatar', 'also_known_as') THEN replace(lower(query), matched, dst) WHEN rel IN ('consort_of', 'devotee_of', 'student_of') THEN lower(query) || ' ' || dst END AS variant FROM f JOIN nb USING (entity) JOIN qs USING (query_id))
     SELECT DISTINCT query_id, variant FROM (SELECT query_id, query AS variant FROM qs UNION ALL SELECT * FROM v WHERE variant IS NOT NULL)""")
-def kg_query_expand(spark, sf_dir):
+def kg_query_expand(spark, sf_dir, words=8):
     names, edges, _ = graph_of(spark, sf_dir)
-    return graph.expand_by_graph(quotes_of(spark, sf_dir, 8), names, edges)
+    return graph.expand_by_graph(quotes_of(spark, sf_dir, words), names, edges)
 
 
 def pair_hits(spark, sf_dir):
@@ -902,9 +902,9 @@ def ltr_pairwise_rank(spark, sf_dir):
 @registered(f"""WITH {fused_sql(10)}, v AS (SELECT fused.query_id, fused.doc_id, query AS q, coalesce(text, '') AS p, round(1.0 - 0.1 * (rank - 1), 6)::DOUBLE AS ranking_score FROM fused JOIN qs USING (query_id) JOIN documents d ON d.doc_id = fused.doc_id),
     c AS (SELECT query_id, doc_id, ranking_score, {CONF} AS confidence FROM v), m AS (SELECT *, confidence > 0.5 AS "match", max((confidence > 0.5)::INT) OVER (PARTITION BY query_id) AS any_match FROM c)
     SELECT query_id, doc_id, ranking_score, confidence, "match" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, doc_id) AS r FROM m WHERE "match" OR any_match = 0) WHERE r = 1""")
-def pipeline_end_to_end(spark, sf_dir):
-    docs, queries = corpus_of(spark, sf_dir), quotes_of(spark, sf_dir, 8)
-    hits = search.fused_search(docs, queries, 10, TEST_SYNONYMS)
+def pipeline_end_to_end(spark, sf_dir, words=8):
+    docs, queries = corpus_of(spark, sf_dir), quotes_of(spark, sf_dir, words)
+    hits = search.fused_search(docs, queries, 10, TEST_SYNONYMS, wide=not words)
     full = models.untrained(hits.join(docs, "doc_id").join(queries, "query_id")).withColumns({"work": F.lit(None).cast("string"), "category": F.lit(None).cast("string")})
     return pairs.keep_confirmed(pairs.confirmed(full.drop("rank")), 1).select("query_id", "doc_id", "ranking_score", "confidence", "match")
 
@@ -912,4 +912,11 @@ def pipeline_end_to_end(spark, sf_dir):
 @registered()
 def engine_retrieve(spark, sf_dir):
     engine = Engine(spark, docs_of(spark, sf_dir), TEST_SYNONYMS)
-    return engine.retrieve(quotes_of(spark, sf_dir, 8), 20).select("query_id", "doc_id", "score", "confidence", "match", "predicted_work")
+    return engine.retrieve(quotes_of(spark, sf_dir), 20).select("query_id", "doc_id", "score", "confidence", "match", "predicted_work")
+
+
+# The queries above ask the first eight words, as their SQL does; these ask whole quotes, which are longer than two windows.
+WIDE_CTE = PARTIAL_CTE.replace("qlen <= 15 AND len(", "(qlen > 15 OR len(").replace("n))) > 0)", "n))) > 0))")
+for cut_one in (partial_match, match_context, synonym_expand, fused_search, simple_search, kg_query_expand, pipeline_end_to_end):
+    QUERIES[f"{cut_one.__name__}_whole"] = lambda spark, sf_dir, query=cut_one: query(spark, sf_dir, None)
+    ORACLE_SQL[f"{cut_one.__name__}_whole"] = ORACLE_SQL[cut_one.__name__].replace(SHORT_QUOTES, QUOTES).replace(PARTIAL_CTE, WIDE_CTE)

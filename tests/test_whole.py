@@ -3,7 +3,7 @@
 from against_sql import SMALL
 
 from lodestone import queries
-from lodestone.operators import datasets
+from lodestone.operators import datasets, search
 
 
 def test_pairs_of_all_documents(spark):
@@ -22,3 +22,12 @@ def digest(text):
     import hashlib
 
     return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_long_quotes(spark):
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:20]))], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(words[7:47])), (2, " ".join([*words[3:20], "x", *words[21:40]])), (3, " ".join(words[2:12]))], "query_id long, query string")
+    got = {(r.query_id, r.doc_id): (round(r.score, 6), r["at"]) for r in search.partial_search(docs, asked, wide=True).collect()}
+    assert got == {(1, 1): (1.0, 7), (2, 1): (round(36 / 37, 6), 3), (3, 1): (1.0, 2), (3, 2): (1.0, 2)}
+    assert {tuple(r) for r in queries.synonym_expand(spark, SMALL, None).join(queries.quotes_of(spark, SMALL), "query_id").filter("variant = query").select("query_id").collect()} == {(r.item_id,) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
