@@ -116,9 +116,9 @@ def window_index(docs: DataFrame, window: int = WINDOW, overlap: int = OVERLAP)
     return cut.select("doc_id", "start", F.least(F.col("start") + window, F.size("w")).alias("end"), F.slice("w", F.col("start") + 1, window).alias("words"))
 
 
-def word_ngrams(docs: DataFrame, low: int = 3, high: int = 20, longest: int = 200) -> DataFrame:
-    """Every run of ``low`` to ``high`` words of the documents of at most ``longest`` words."""
-    words = docs.select("doc_id", tokens(F.lower("text")).alias("w")).filter((F.size("w") >= low) & (F.size("w") <= longest))
+def word_ngrams(docs: DataFrame, low: int = 3, high: int = 20) -> DataFrame:
+    """Every run of ``low`` to ``high`` words of the documents."""
+    words = docs.select("doc_id", tokens(F.lower("text")).alias("w")).filter(F.size("w") >= low)
     sized = words.select("doc_id", "w", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.size("w")))).alias("n"))
     return sized.select("doc_id", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("start")).select("doc_id", "n", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("gram"))
 

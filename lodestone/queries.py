@@ -278,6 +278,11 @@ def word_ngrams(spark, sf_dir):
     return search.word_ngrams(search.corpus(table(spark, sf_dir, "benchmark"), "item_id")).groupBy("gram").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
+@registered()
+def word_ngrams_documents(spark, sf_dir):
+    return search.word_ngrams(corpus_of(spark, sf_dir)).groupBy("gram").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
 # Retrieval
 
 BM25_CTE = f"""d AS (SELECT doc_id, {tok('text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
@@ -754,6 +759,11 @@ def exact_match_exhaustive(spark, sf_dir):
     return datasets.exact_everywhere(search.corpus(table(spark, sf_dir, "benchmark"), "item_id"))
 
 
+@registered(ORACLE_SQL["exact_match_exhaustive"].replace("item_id AS doc_id", "doc_id").replace("FROM benchmark", "FROM documents"))
+def exact_match_exhaustive_documents(spark, sf_dir):
+    return datasets.exact_everywhere(corpus_of(spark, sf_dir))
+
+
 SUBSTITUTES = {"the": ["of", "and"], "der": ["die"]}
 
 

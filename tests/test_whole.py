@@ -1,6 +1,7 @@
 """Whole jobs: rows that earlier versions left out."""
 
 from against_sql import SMALL
+from pyspark.sql import functions as F
 
 from lodestone import queries
 from lodestone.operators import datasets, search
@@ -31,3 +32,18 @@ def test_long_quotes(spark):
     got = {(r.query_id, r.doc_id): (round(r.score, 6), r["at"]) for r in search.partial_search(docs, asked, wide=True).collect()}
     assert got == {(1, 1): (1.0, 7), (2, 1): (round(36 / 37, 6), 3), (3, 1): (1.0, 2), (3, 2): (1.0, 2)}
     assert {tuple(r) for r in queries.synonym_expand(spark, SMALL, None).join(queries.quotes_of(spark, SMALL), "query_id").filter("variant = query").select("query_id").collect()} == {(r.item_id,) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+
+
+def test_ngrams_of_long_documents(spark):
+    texts = {1: " ".join(f"W{k % 211}" for k in range(500)), 2: "w1 w2  w3 w4", 3: "a b"}
+    expected = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        for n in range(3, 21):
+            for k in range(len(w) - n + 1):
+                expected.setdefault(" ".join(w[k : k + n]), set()).add(i)
+    grams = search.word_ngrams(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = {(r.gram, r.n) for r in grams.groupBy("gram").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    assert got == {(g, len(ids)) for g, ids in expected.items()}
+    docs = {r.doc_id for r in spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) >= 14").collect()}
+    assert {r.doc_id for r in queries.exact_match_exhaustive_documents(spark, SMALL).select("doc_id").distinct().collect()} == docs
