@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, whole
-from .pairs import difficulty
 
 
 def lot(*keys: str, seed: int = 42) -> Column:
@@ -47,21 +46,24 @@ def with_next(docs: DataFrame, parts: int = 64) -> DataFrame:
     return ranged.withColumn("next_text", F.lead("text").over(order)).join(F.broadcast(ends), "part").withColumn("next_text", F.coalesce("next_text", "after")).drop("part", "digest", "after")
 
 
-def query_variants(docs: DataFrame) -> DataFrame:
-    """doc_id, variant: the words whole, their first quarter, half and three quarters, last half, middle, and windows of up to five."""
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w")).filter("n >= 4")
+def query_variants(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, variant: the words whole, their first quarter, half and three quarters, last half, middle, and windows of up to five; and the columns ``more``."""
+    words = docs.select("doc_id", *more, tokens(F.col("text")).alias("w")).withColumn("n", F.size("w")).filter("n >= 4")
     cut = lambda start, size: F.array_join(F.slice("w", (F.lit(1) + start).cast("int"), F.greatest(size, F.lit(0)).cast("int")), " ")
     div = lambda k: F.expr(f"n div {k}")
     fixed = [cut(F.lit(0), F.col("n")), cut(F.lit(0), div(4)), cut(F.lit(0), div(2)), cut(F.lit(0), F.expr("3 * n div 4")), cut(div(2), F.col("n") - div(2)), cut(div(4), F.expr("3 * n div 4") - div(4))]
     size = F.least(F.lit(5), div(2)).cast("int")
     windows = F.transform(F.sequence(F.lit(0), F.col("n") - size, F.lit(2)), lambda k: F.array_join(F.slice("w", k + 1, size), " "))
-    return words.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(*fixed), windows))).alias("variant")).filter("variant <> ''")
+    return words.select("doc_id", *more, F.explode(F.array_distinct(F.concat(F.array(*fixed), windows))).alias("variant")).filter("variant <> ''")
 
 
 def positive_pairs(docs: DataFrame) -> DataFrame:
-    """query, passage, label 1, pair_type and difficulty of every variant of two words or more."""
-    pairs = query_variants(docs).join(docs.select("doc_id", "text"), "doc_id").filter(F.size(tokens(F.col("variant"))) >= 2)
-    return pairs.select("doc_id", F.col("variant").alias("query"), F.col("text").alias("passage"), F.lit(1).alias("label"), F.lit("positive").alias("pair_type"), difficulty(F.col("variant"), F.col("text")).alias("difficulty"))
+    """query, passage, label 1, pair_type and difficulty of every variant of two words or more.
+
+    A variant is words of its passage, so the passage has all of them, and the pair is easy.
+    """
+    pairs = query_variants(docs, "text").filter(F.size(tokens(F.col("variant"))) >= 2)
+    return pairs.select("doc_id", F.col("variant").alias("query"), F.col("text").alias("passage"), F.lit(1).alias("label"), F.lit("positive").alias("pair_type"), F.lit("easy").alias("difficulty"))
 
 
 def hard_negatives(docs: DataFrame, anchors: DataFrame, each: int = 2, spread: int = 30, seed: int = 42) -> DataFrame:

@@ -726,7 +726,7 @@ def query_variants(spark, sf_dir):
 
 @registered()
 def positive_pairs(spark, sf_dir):
-    return datasets.positive_pairs(datasets.sample_quotes(table(spark, sf_dir, "documents"), 40)).drop("passage")
+    return datasets.positive_pairs(docs_of(spark, sf_dir)).drop("passage")
 
 
 def negatives_sql() -> str:

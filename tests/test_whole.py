@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import queries
 from lodestone.operators import datasets, search
+from lodestone.operators.pairs import difficulty
 
 
 def test_pairs_of_all_documents(spark):
@@ -47,3 +48,12 @@ def test_ngrams_of_long_documents(spark):
     assert got == {(g, len(ids)) for g, ids in expected.items()}
     docs = {r.doc_id for r in spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) >= 14").collect()}
     assert {r.doc_id for r in queries.exact_match_exhaustive_documents(spark, SMALL).select("doc_id").distinct().collect()} == docs
+
+
+def test_positive_pairs_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    long = {r.doc_id for r in docs.collect() if len((r.text or "").split()) >= 4}
+    assert {r.doc_id for r in queries.positive_pairs(spark, SMALL).select("doc_id").distinct().collect()} == long
+    few = docs.filter("length(text) < 1500").limit(20)
+    wrong = datasets.positive_pairs(few).filter(difficulty(F.col("query"), F.col("passage")) != F.col("difficulty"))
+    assert wrong.count() == 0 and datasets.positive_pairs(few).count() > 0
