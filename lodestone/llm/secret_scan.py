@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by pattern, and a random forest that tells false findings from true ones.
 
-Everything is columns and SQL functions.  A candidate is a run of key-like characters with a digit.  The forest sees its length
+Everything is columns and SQL functions.  A candidate is a run of key-like characters with a digit, an AWS key id, or whatever
+is assigned to a name with a secret word, however short and of whatever characters.  The forest sees its length
 and spread of characters, how its characters follow one another, how much of it is dictionary words, whether it is part of a
 path, and the words beside it.  It learns from labelled findings; by default these are made by rule.
 """
@@ -17,7 +18,11 @@ from pyspark.sql import functions as F
 
 from .shared import keep_table, text_of
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9]|(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z]))[A-Za-z0-9+/_\-]{12,}+={0,2}"
+#: A name with a secret word, the sign of assignment, and a word for the scheme; then the value, up to its quote, or to a gap, the next name or a tag.
+NAMED = r"(?i:(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]*?(?:password|passwd|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth|bearer|credential|private)[A-Za-z0-9_\-]*+[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:(?:bearer|basic|token)[ \t]+)?)"
+GIVEN = r"(?:\"[^\"\n]+(?=\")|'[^'\n]+(?=')|[\"']?(?:(?![&,;][ \t]*[A-Za-z_\-]+[=:]|</?[A-Za-z])[^\s\"'])*(?:(?![&,;][ \t]*[A-Za-z_\-]+[=:]|</?[A-Za-z])[^\s\"',;.)\]}>]))"
+ASSIGNED = NAMED + GIVEN
 #: Characters beside a candidate that are looked at.
 BESIDE = 60
 #: Labelled findings that the forest is fitted on at most.
@@ -30,15 +35,29 @@ CLASSES = "vcdo"
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """Candidates of ``docs(doc_id, text)``: doc_id, start (code points before it), value, left and right (what stands beside it)."""
-    text = text_of(docs)
-    found = docs.select("doc_id", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"), text.alias("text")).filter(F.size("values") > 0)
-    cut = found.select("doc_id", "values", F.split("text", CANDIDATE).alias("pieces"), F.monotonically_increasing_id().alias("row"))
+    """Candidates of ``docs(doc_id, text)``: doc_id, start (code points before it), value, left and right (what stands beside it).
+
+    Of a run and an assigned value that start at the same place, the longer is the candidate.
+    """
+    rows = keep_table(docs.select("doc_id", text_of(docs).alias("text")).withColumn("row", F.monotonically_increasing_id()), "secret-texts")
+    runs, given = matches(rows, CANDIDATE), matches(rows.filter(F.col("text").rlike(SECRET_WORDS)), ASSIGNED)
+    # The name before an assigned value, and its quote, belong to what is left of it.
+    name = F.regexp_extract("value", f"^{NAMED}[\"']?", 0)
+    value = F.substring(F.col("value"), F.length(name) + 1, F.length("value"))
+    given = given.select("row", "doc_id", (F.col("start") + F.length(name)).alias("start"), value.alias("value"), F.right(F.concat("left", name), F.lit(BESIDE)).alias("left"), "right")
+    longest = F.row_number().over(Window.partitionBy("row", "start").orderBy(F.desc(F.length("value"))))
+    return runs.unionByName(given).withColumn("place", longest).filter("place = 1").drop("row", "place")
+
+
+def matches(rows: DataFrame, pattern: str) -> DataFrame:
+    """What matches in ``rows(row, doc_id, text)``: row, doc_id, start, value, left, right."""
+    found = rows.select("row", "doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("values"), "text").filter(F.size("values") > 0)
+    cut = found.select("row", "doc_id", "values", F.split("text", pattern).alias("pieces"))
     each = cut.select("doc_id", "row", "pieces", F.posexplode("values").alias("k", "value")).select("doc_id", "row", "k", "value", F.get("pieces", F.col("k")).alias("before"), F.get("pieces", F.col("k") + 1).alias("after"))
     # A document's candidates in order; what is before one is the pieces and candidates so far.
     so_far = Window.partitionBy("row").orderBy("k")
     start = F.sum(F.length("before")).over(so_far) + F.coalesce(F.sum(F.length("value")).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return each.select("doc_id", start.cast("long").alias("start"), "value", F.right("before", F.lit(BESIDE)).alias("left"), F.left("after", F.lit(BESIDE)).alias("right"))
+    return each.select("row", "doc_id", start.cast("long").alias("start"), "value", F.right("before", F.lit(BESIDE)).alias("left"), F.left("after", F.lit(BESIDE)).alias("right"))
 
 
 def character_classes() -> Column:
@@ -72,19 +91,31 @@ def features() -> dict[str, Column]:
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """Findings made by rule, half of them secrets: value, left, right, label.  The same ones every time."""
-    rows = spark.range(n, numPartitions=4).select("id", F.sha2(F.concat(F.lit("a"), "id"), 512).alias("h"), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), "id"), 256))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"))
+    rows = spark.range(n, numPartitions=1).select("id", F.sha2(F.concat(F.lit("a"), "id"), 512).alias("h"), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), "id"), 256))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"))
     hexes = lambda least, most: F.substring("h", F.lit(1), F.lit(least) + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(most - least + 1)).cast("int"))
     upper = F.substring(F.regexp_replace(F.upper("b"), "[^0-9A-Z]", ""), 1, 16)
     digits = F.substring(F.regexp_replace("h", "[^0-9]", ""), 1, 16)
     mixed = F.substring(F.regexp_replace("b", "[^0-9A-Za-z]", ""), 1, 32)
     word = lambda k: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64("id", F.lit(99)), F.lit(len(xs))) + 1).cast("int"))
+    low = F.regexp_replace(F.lower("b"), "[^a-z]", "")
+    some_digits = F.substring(digits, F.lit(1), F.lit(1) + F.pmod(F.xxhash64("id", F.lit(6)), F.lit(3)).cast("int"))
+    letters = F.substring(F.regexp_replace("b", "[^A-Za-z]", ""), 1, 20)
+    syllable = lambda k: pick_at(k, *"cor hor bat sta mon tri vel zin pax lum dra fen gol kip ros tam".split())
+    pick_at = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(xs))) + 1).cast("int"))
+    named = pick_at(98, "password=", "passwd=", "pwd: ", 'password = "', "token=", "secret: ", "api_key = ", "PASSWORD=")
     around = lambda mark: F.concat(word(1), F.lit(" "), word(2), F.lit(mark))
     secret = [
         (F.concat(pick("AKIA", "ASIA"), upper), around(" "), F.concat(F.lit(" "), word(4))),
         (hexes(40, 40), F.concat(around(" "), pick('token = "', 'secret = "', "token: ", "api_key = '", "auth_token=")), F.concat(pick('"', " "), word(4))),
         (hexes(12, 32), F.concat(around(" "), pick("password=", "passwd=", "pwd: ", 'password = "', "PASSWORD=")), F.concat(F.lit(" "), word(4))),
         (mixed, F.concat(around(" "), pick("api_key=", "secret: ", 'access_key = "', "Bearer ", "credential=")), F.concat(F.lit(" "), word(4))),
+        (F.concat(syllable(11), syllable(12), F.lit("-"), syllable(13), syllable(14), F.lit("-"), syllable(15), syllable(16)), F.concat(around(" "), named), F.concat(F.lit(" "), word(4))),
+        (F.concat(syllable(11), syllable(12), some_digits), F.concat(around(" "), named), F.concat(pick(" ", ", ", "; "), word(4))),
+        (F.concat(F.substring(low, F.lit(1), F.lit(3) + F.pmod(F.xxhash64("id", F.lit(5)), F.lit(6)).cast("int")), some_digits), F.concat(around(" "), named), F.concat(F.lit(" "), word(4))),
+        (F.concat(F.substring(low, 1, 3), pick("!", "@", "#", "$", "%", "&"), F.substring("h", 1, 3), pick("@", "!", "*", "."), F.substring(low, 4, 3)), F.concat(around(" "), named), F.concat(F.lit(" "), word(4))),
+        (letters, F.concat(around(" "), named), F.concat(F.lit(" "), word(4))),
+        (F.concat(pick("AKIA", "ASIA"), F.translate(upper, "0123456789", "ABCDEFGHIJ")), around(" "), F.concat(F.lit(" "), word(4))),
     ]
     plain = [
         (digits, around(" "), F.concat(F.lit(" "), word(4))),
@@ -96,9 +127,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(F.lit("AKIA"), F.substring(F.lit("IOSFODNN7EXAMPLE0000"), 1, 16)), F.concat(around(" "), pick("example ", "sample key ", "dummy ")), F.concat(F.lit(" "), word(4))),
         (F.concat(word(5), word(6), word(7), F.substring(digits, 1, 3)), around(" "), F.concat(pick(".", ",", " "), word(4))),
     ]
-    kinds = [F.struct(F.lit(1.0).alias("label"), *[c.alias(k) for c, k in zip(x, ("value", "left", "right"), strict=True)]) for x in secret for _ in range(2)]
-    kinds += [F.struct(F.lit(0.0).alias("label"), *[c.alias(k) for c, k in zip(x, ("value", "left", "right"), strict=True)]) for x in plain]
-    return rows.select(F.element_at(F.array(*kinds), (F.pmod("r", F.lit(len(kinds))) + 1).cast("int")).alias("x")).select("x.*").filter(F.length("value") >= 12)
+    # What prose and settings have after a secret word without its being one.
+    plain += [(v, F.concat(around(" "), pick("password: ", "token: ", "secret: ", "author: ", "private = ", "auth=")), F.concat(F.lit(" "), word(4))) for v in (word(5), pick("none", "null", "true", "false", "required", "the", "yes", "A", "None", "string", "str", "optional"), F.concat(F.initcap(syllable(11)), syllable(12)), F.concat(F.lit("${"), F.upper(word(5)), F.lit("}")), pick("********", "xxxxxxxx", "<redacted>", "changeme", "..."))]
+    kinds = [(1.0, x) for x in secret for _ in range(2)] + [(0.0, x) for x in plain]
+    # A plan for each kind: code for all of them at once is too long to be compiled.
+    parts = [rows.filter(F.pmod("r", F.lit(len(kinds))) == k).select(F.lit(label).alias("label"), *[c.alias(n) for c, n in zip(x, ("value", "left", "right"), strict=True)]) for k, (label, x) in enumerate(kinds)]
+    return reduce(DataFrame.unionByName, parts).filter((F.length("value") >= 12) | F.col("left").rlike(r"[=:]\s*[\"']?$"))
 
 
 def measured(found: DataFrame) -> DataFrame:
