@@ -102,13 +102,13 @@ def thresholds(rows: DataFrame) -> DataFrame:
     return joined.select("g.lang", "g.source", *[pick(f"{r}_{end}").alias(f"{r}_{end}") for r in RATES for end in ("low", "high")])
 
 
-def quality_verdicts(docs: DataFrame) -> DataFrame:
+def quality_verdicts(docs: DataFrame, *more: str) -> DataFrame:
     """A row for each row of ``docs(doc_id, text, lang, source)``: its counts, rates, base_failed and kept.
 
     Null texts have no word and so fail; null languages and sources are groups of their own.  Rows that repeat
     count each time.  An empty table gives none, and other columns are ignored.
     """
-    rows = keep_table(judged(base_counts(docs, ("lang", "source"))), "quality")
+    rows = keep_table(judged(base_counts(docs, ("lang", "source", *more))), "quality")
     limits = thresholds(rows)
     usual = reduce(
         lambda a, b: a & b,
@@ -119,9 +119,15 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep.  Ids name documents; a null id is never kept, as it names none."""
-    kept = quality_verdicts(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    """The rows of ``docs`` that the rules keep, each by its own verdict: null ids too, and of rows with the same id those kept.
+
+    Rows with the same id, language, source and text have the same verdict.
+    """
+    names = ["doc_id", "lang", "source", "text_digest"]
+    marked = docs.withColumn("text_digest", F.sha2(text_of(docs), 256))
+    kept = quality_verdicts(marked, "text_digest").filter("kept").select(*[F.col(c).alias(f"kept_{c}") for c in names])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"kept_{c}")) for c in names])
+    return marked.join(kept, same, "left_semi").drop("text_digest")
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -277,6 +277,13 @@ def test_quality_keeps_and_rejects(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 
+def test_good_documents_by_row(spark):
+    clean = " ".join(f"word{chr(97 + k)}" for k in range(20))
+    rows = [(None, clean, "s"), (None, "too short", "s"), (1, clean + " one", "s"), (1, "few words", "s"), (2, clean, "s"), (2, clean, "s")]
+    got = Counter((r.doc_id, r.text) for r in quality.good_documents(documents(spark, rows)).collect())
+    assert got == Counter((i, t) for i, t, _ in rows if len(t.split()) > 10)
+
+
 def test_secrets_held_out(spark):
     rows = secret_scan.labelled_findings(spark)
     part = F.pmod(F.xxhash64("value"), F.lit(4))
