@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import GAP_CHARS, keep_table, run_dir, text_of
+from .shared import GAP_CHARS, keep_table, one_row_each, run_dir, text_of
 
 #: State in RocksDB; without space set aside in advance, of which every store would take some megabytes.
 STORE = {
@@ -127,9 +127,8 @@ def exact_groups(docs: DataFrame, digest: Callable[[bytes], str] = sha256) -> Da
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
-    groups = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns; of rows that repeat an id and its text one stays."""
+    return one_row_each(docs, exact_groups(docs).filter("kept").select("doc_id", F.unhex("row_key").alias("tid")))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .recurring import NO_ID, mixed, rolling, text_id
-from .shared import keep_table, text_of
+from .recurring import mixed, rolling
+from .shared import NO_ID, keep_table, one_row_each, text_id, text_of
 
 #: Registers, a prime number, so that steps of any length visit each once; bands of registers.
 REGISTERS = 131
@@ -28,10 +29,8 @@ BANDS, ROWS = 32, 4
 SCALE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair is dropped unconfirmed if its registers are this much likelier, in logarithms, under another similarity than under the threshold.
 UNLIKELY = 12.0
-#: Members of a bucket that are compared with each other in one go.
-BLOCK = 64
-#: Rounds in which the members of a bucket that are not joined yet are compared with one member drawn by lot.
-DRAWS = 4
+#: Shingles of the members of a bucket that one task holds while the bucket's others pass by, and members that pass by in one task.
+HELD, PASSING = 1 << 20, 4096
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
@@ -124,25 +123,28 @@ def banded(reps: DataFrame) -> DataFrame:
     return reps.select("vertex", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's least member: as many pairs as members, however large a bucket is."""
-    hubs = buckets.groupBy("key").agg(F.min("vertex").alias("x"), F.max("vertex").alias("other")).filter("x < other").select(F.col("key").alias("of"), "x")
-    return buckets.join(hubs, F.col("key") == F.col("of")).filter("vertex > x").select("x", F.col("vertex").alias("y")).distinct()
+def shared(buckets: DataFrame) -> DataFrame:
+    """The members of buckets that have more than one."""
+    several = buckets.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).filter("a < b").select(F.col("key").alias("of"))
+    return buckets.join(several, F.col("key") == F.col("of")).select("key", "vertex")
 
 
-def still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """band, key, vertex and root of the members of buckets that links have not joined to one component."""
-    rooted = buckets.select("band", "key", "vertex").join(found, F.col("vertex") == F.col("node"), "left").select("band", "key", "vertex", F.coalesce("root", "vertex").alias("root"))
-    still = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select(F.col("key").alias("of"))
-    return rooted.join(still, F.col("key") == F.col("of")).drop("of")
+def star_pairs(members: DataFrame, worth: Column) -> DataFrame:
+    """Each member of a bucket with the one of greatest ``worth``: as many pairs as members, however large a bucket is."""
+    hubs = members.groupBy("key").agg(F.max(F.struct(worth.alias("worth"), (-F.col("vertex")).alias("turn"), "vertex", "root")).alias("h")).select(F.col("key").alias("of"), F.col("h.vertex").alias("hub"), F.col("h.root").alias("hub_root"))
+    met = members.join(hubs, F.col("key") == F.col("of")).filter("root <> hub_root")
+    return met.select(F.least("hub", "vertex").alias("x"), F.greatest("hub", "vertex").alias("y")).distinct()
 
 
-def drawn_pairs(opened: DataFrame, draw: int) -> DataFrame:
-    """Each member of an open bucket with one of its members drawn by lot, if they are not joined; buckets that share members mostly draw the same one."""
-    lot = F.xxhash64("vertex", F.lit(draw))
-    hubs = opened.groupBy("key").agg(F.min(F.struct(lot.alias("lot"), "vertex", "root")).alias("h")).select(F.col("key").alias("of"), F.col("h.vertex").alias("hub"), F.col("h.root").alias("hub_root"))
-    met = opened.join(hubs, F.col("key") == F.col("of")).filter("root <> hub_root")
-    return met.select(F.least("hub", "vertex").alias("x"), F.greatest("hub", "vertex").alias("y")).distinct()
+def still_open(members: DataFrame) -> DataFrame:
+    """Members of the buckets in which links have not joined all to one component."""
+    still = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select(F.col("key").alias("of"))
+    return members.join(still, F.col("key") == F.col("of")).drop("of")
+
+
+def rooted(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members with the root of their component as it is now."""
+    return members.drop("root").join(found, F.col("vertex") == F.col("node"), "left").withColumn("root", F.coalesce("root", "vertex")).drop("node")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -160,147 +162,172 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("x", "y", "nx", "rx", "ny", "ry").mapInArrow(read, "x long, y long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets have that similarity, as links (u, v)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-
-        def of(vertex: int, text: pa.Scalar) -> np.ndarray:
-            if vertex not in held:
-                if len(held) >= 256:
-                    held.clear()
-                held[vertex] = shingles(text.as_py())
-            return held[vertex]
-
         for b in batches:
             keep = []
-            for k in range(b.num_rows):
-                s, t = of(b[0][k].as_py(), b[2][k]), of(b[1][k].as_py(), b[3][k])
+            for s, t in zip(b[2].to_pylist(), b[3].to_pylist(), strict=True):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (b[0], b[1])], names=["u", "v"])
 
-    first = pairs.join(texts.select(F.col("vertex").alias("x"), F.col("text").alias("tx")), "x")
-    return first.join(texts.select(F.col("vertex").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty").mapInArrow(read, "u long, v long")
+    first = pairs.join(sets.select(F.col("vertex").alias("x"), F.col("elements").alias("sx")), "x")
+    return first.join(sets.select(F.col("vertex").alias("y"), F.col("elements").alias("sy")), "y").select("x", "y", "sx", "sy").mapInArrow(read, "u long, v long")
 
 
-def texts_of(docs: DataFrame, reps: DataFrame, vertices: DataFrame) -> DataFrame:
-    """vertex and text of each of ``vertices(vertex)``."""
+def full_sets(docs: DataFrame, reps: DataFrame, vertices: DataFrame) -> DataFrame:
+    """vertex, n and elements, the sorted hashes of its shingles, of each of ``vertices(vertex)``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 128):
+                part = b.slice(k, 128)
+                sets = [shingles(x.as_py()) for x in part[1]]
+                yield pa.RecordBatch.from_arrays([part[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["vertex", "n", "elements"])
+
     wanted = vertices.distinct().join(reps.select("vertex", "owner", "tid"), "vertex")
     rows = docs.select(text_id(docs).alias("of"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_of(docs).alias("text"))
-    return rows.join(wanted, (F.col("id") == F.col("owner")) & (F.col("of") == F.col("tid"))).select("vertex", "text").dropDuplicates(["vertex"])
+    texts = rows.join(wanted, (F.col("id") == F.col("owner")) & (F.col("of") == F.col("tid"))).select("vertex", "text").dropDuplicates(["vertex"])
+    return texts.mapInArrow(read, "vertex long, n long, elements binary")
+
 
+def able(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members, with n and free, that can have a link in an open bucket.
 
-def only_here(texts: DataFrame) -> DataFrame:
-    """vertex, own: how many of its shingles no other of the ``texts`` has.  Those can be in common with none of them."""
+    A shingle that no other set of an open bucket has can be in common with none of them; the others are free.  A set may reach the threshold
+    with one that has just what is free of it, at best.  Copies that were changed apart from each other have shingles of their own,
+    so this settles most of a large group at a cost in proportion to its text.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 128):
-                part = b.slice(k, 128)
-                sets = [shingles(x.as_py()) for x in part[1]]
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [np.frombuffer(x, np.int64) for x in part[1].to_pylist()]
                 vertices = np.repeat(np.array(part[0].to_pylist(), np.int64), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.array(np.concatenate(sets).view(np.int64))], names=["vertex", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.array(np.concatenate(sets))], names=["vertex", "shingle"])
 
-    rows = texts.select("vertex", "text").mapInArrow(read, "vertex long, shingle long")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("times"), F.min("vertex").alias("vertex")).filter("times = 1")
-    return once.groupBy("vertex").agg(F.count("*").alias("own"))
+    here = sets.join(opened.select("vertex").distinct(), "vertex")
+    once = here.select("vertex", "elements").mapInArrow(read, "vertex long, shingle long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("vertex").alias("vertex")).filter("times = 1")
+    own = once.groupBy("vertex").agg(F.count("*").alias("own"))
+    free = here.select("vertex", "n").join(own, "vertex", "left").select("vertex", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("free")).filter(100 * F.col("free") >= percent * F.col("n"))
+    return opened.join(free, "vertex")
 
 
-def open_pairs(opened: DataFrame, reps: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Pairs of an open bucket that are not joined yet and that neither sizes nor registers rule out.
+def links_across(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join the components of every open bucket as far as they are linked there.
 
-    Two sets have at most those shingles in common that are not a member's own; copies changed apart from each other
-    have shingles of their own, so this settles most of a large group.  A bucket goes to tasks in pairs of blocks of members, so no task gets
-    more of it than two blocks; a pair is looked at in the first band it shares, and only pairs that may be links leave a task.
+    The members outside a bucket's largest component are held by a task, ``HELD`` shingles of them, and all members pass by, ``PASSING``
+    in a task; what they have in common is counted on the full sets.  Only links leave a task, fewer than it holds members,
+    as members that links have joined already are not looked at again.
     """
-    sized = opened.join(own, "vertex", "left").join(reps.select("vertex", "n", "registers"), "vertex").withColumn("free", F.col("n") - F.coalesce("own", F.lit(0)))
-    # All that a set has in common with another is free: it may reach the threshold with one of that size at best.
-    able = sized.filter(100 * F.col("free") >= percent * F.col("n"))
-    still = able.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a < b").select(F.col("key").alias("of"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = able.join(still, F.col("key") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("blocks")).cast("int"))
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    full = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "vertex", "root", "mine", "n", "free", "registers")
-
-    def compare(members: list[tuple]) -> pa.RecordBatch:
-        i, j, band = members[0][1], members[0][2], members[0][3]
-        at, roots, block = (np.array([m[c] for m in members]) for c in (4, 5, 6))
-        sizes, free = (np.array([m[c] for m in members], np.float64) for c in (7, 8))
-        grid = np.frombuffer(b"".join(m[9] for m in members), np.uint16).reshape(len(members), REGISTERS)
-        bands = grid[:, : BANDS * ROWS].reshape(len(members), BANDS, ROWS)
-        two = block == j
-        xs, ys = [], []
-        for k in np.flatnonzero(block == i):
-            # Within a block, and between two, each pair once.
-            near = np.flatnonzero(two & (roots != roots[k]) & ((at > at[k]) if i == j else True))
-            most = np.minimum(free[near], free[k])
-            near = near[100 * most >= percent * (sizes[near] + sizes[k] - most)]
-            if len(near):
-                near = near[(bands[near] == bands[k]).all(-1).argmax(1) == band]
-            if len(near):
-                near = near[may_reach(grid[k][None, :], grid[near], np.full(len(near), sizes[k]), sizes[near], percent)]
-                xs.append(np.minimum(at[k], at[near]))
-                ys.append(np.maximum(at[k], at[near]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (xs, ys)], names=["x", "y"])
+    groups = opened.groupBy("key", "root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    per = groups.groupBy(F.col("key").alias("of")).agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.sum("members").alias("members"), (F.sum("shingles") - F.max(F.struct("members", "root", "shingles"))["shingles"]).alias("shingles"))
+    plan = per.select("of", "main", F.ceil(F.col("shingles") / HELD).cast("int").alias("parts"), F.ceil(F.col("members") / PASSING).cast("int").alias("slices"))
+    rows = opened.join(plan, F.col("key") == F.col("of"))
+    turn = lambda seed, n: F.pmod(F.xxhash64("vertex", F.lit(seed)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "i", "j", "passes", "vertex", "root", "n", "free"]
+    held = rows.filter("root <> main").withColumn("i", turn(1, "parts")).withColumn("j", upto("slices")).withColumn("passes", F.lit(False)).select(*columns)
+    passing = rows.withColumn("i", upto("parts")).withColumn("j", turn(2, "slices")).withColumn("passes", F.lit(True)).select(*columns)
+    full = held.unionByName(passing).join(sets.select(F.col("vertex").alias("w"), "elements"), F.col("vertex") == F.col("w")).select(*columns, "elements")
+
+    def compare(members: list[tuple], rest: Iterator[tuple]) -> Iterator[tuple[int, int]]:
+        sizes, free = (np.array([m[c] for m in members], np.float64) for c in (6, 7))
+        own = [np.frombuffer(m[8], np.uint64) for m in members]
+        names, place = np.unique(np.concatenate(own), return_inverse=True)
+        owner = np.repeat(np.arange(len(own)), [len(x) for x in own])[np.argsort(place, kind="stable")]
+        ends = np.r_[0, np.cumsum(np.bincount(place))]
+        joined: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        tops = np.array([m[5] for m in members])
+        for w in rest:
+            most = np.minimum(free, w[7])
+            if not ((tops != top(w[5])) & (100 * most >= percent * (sizes + w[6] - most))).any():
+                continue
+            elements = np.frombuffer(w[8], np.uint64)
+            at = np.searchsorted(names, elements)
+            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == elements)]
+            n = ends[at + 1] - ends[at]
+            if not len(at):
+                continue
+            steps = np.arange(n.sum()) + np.repeat(ends[at] - np.r_[0, np.cumsum(n)[:-1]], n)
+            common = np.bincount(owner[steps], minlength=len(own))
+            for k in np.flatnonzero(100 * common >= percent * (sizes + w[6] - common)):
+                a, b = top(members[k][5]), top(w[5])
+                if a != b:
+                    joined[a] = b
+                    tops = np.array([top(m[5]) for m in members])
+                    yield members[k][4], w[4]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[-1][:3] != row[:3]:
-                    yield compare(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield compare(held)
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, group in groupby(rows, lambda r: r[:3]):
+            members, first = [], None
+            for row in group:
+                if row[3]:
+                    first = row
+                    break
+                members.append(row)
+            if members and first:
+                links = list(compare(members, chain([first], group)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["u", "v"])
 
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(read, "x long, y long").distinct()
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "passes").mapInArrow(read, "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """A row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
+    """A row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept, tid (names the text), root (names its component; null without words).
 
     A set has the different runs of five words, in lower case for A to Z; fewer words are one run, and a null text or one without words
     has none and no links.  Sets with 100 * common >= ``percent`` * all are linked, and component_id is the smallest id that links lead to.
     Equal sets are one vertex, so groups of copies of any size cost one.  A null id is the largest; rows that share an id are each judged by
-    their text.  An empty table gives none; other columns are ignored.  With 32 bands of 4 registers a pair just at 0.75 is missed
-    with a chance of 5 in a million, and a component only if all its links there are.
+    their text, and if they repeat it both have the same answer.  An empty table gives none; other columns are ignored; texts of any length are
+    read whole.  With 32 bands of 4 registers a pair just at 0.75 is missed with a chance of 5 in a million, and a component only if all its links
+    there are.
     """
     rows = keep_table(sketches(docs), "near-sketches")
     reps = keep_table(representatives(rows), "near-sets")
-    buckets = banded(reps)
-    tried = keep_table(likely(hub_pairs(buckets), reps, percent), "near-stars")
-    texts = keep_table(texts_of(docs, reps, tried.select(F.explode(F.array("x", "y")).alias("vertex"))), "near-texts")
-    found = components(keep_table(confirmed(tried, texts, percent), "near-links"), "near-components")
-    opened = keep_table(still_open(buckets, found), "near-open")
-    texts = keep_table(texts_of(docs, reps, opened.select("vertex")), "near-texts")
-    joined = lambda links: components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(keep_table(links, "near-links")), "near-components")
-    fresh = lambda pairs: pairs.join(tried, ["x", "y"], "left_anti")
-    for draw in range(DRAWS):
-        if opened.isEmpty():
-            break
-        drawn = keep_table(likely(fresh(drawn_pairs(opened, draw)), reps, percent), "near-drawn")
-        found, tried = joined(confirmed(drawn, texts, percent)), tried.unionByName(drawn)
-        opened = keep_table(still_open(opened, found), "near-open")
+    members = keep_table(shared(banded(reps)).withColumn("root", F.col("vertex")), "near-buckets")
+    sets = keep_table(full_sets(docs, reps, members.select("vertex")), "near-elements")
+    joined = lambda links, before=None: components(links if before is None else before.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links), "near-components")
+    # First each bucket around any one member, then around the one of which most is shared, then whatever is still apart.
+    found = joined(keep_table(confirmed(likely(star_pairs(members, F.lit(0)), reps, percent), sets, percent), "near-links"))
+    opened = still_open(rooted(members, found))
+    opened = keep_table(still_open(able(keep_table(opened, "near-open"), sets, percent)), "near-able")
     if not opened.isEmpty():
-        rest = keep_table(fresh(open_pairs(opened, reps, only_here(texts), percent)), "near-rest")
-        if not rest.isEmpty():
-            found = joined(confirmed(rest, texts, percent))
+        found = joined(keep_table(confirmed(likely(star_pairs(opened, F.col("free") / F.col("n")), reps, percent), sets, percent), "near-links"), found)
+        opened = keep_table(still_open(rooted(opened, found)), "near-open")
+        links = keep_table(links_across(opened, sets, percent), "near-links")
+        if not links.isEmpty():
+            found = joined(links, found)
     owners = reps.select("vertex", "set_id", "owner").join(found, F.col("vertex") == F.col("node"), "left").withColumn("root", F.coalesce("root", "vertex"))
     # Only vertices of links need a group's smallest id; the others have their own.
-    joined = found.select("root").union(found.select("node")).distinct().withColumnRenamed("root", "v")
-    smallest = owners.join(joined, F.col("vertex") == F.col("v"), "left_semi").groupBy("root").agg(F.min("owner").alias("smallest")).withColumnRenamed("root", "of")
-    named = owners.join(smallest, F.col("root") == F.col("of"), "left").select(F.col("set_id").alias("of_set"), F.coalesce("smallest", "owner").alias("component"))
-    joined = rows.select("doc_id", "id", "n", "set_id").join(named, F.col("set_id") == F.col("of_set"), "left").withColumn("component", F.coalesce("component", "id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    linked = found.select("root").union(found.select("node")).distinct().withColumnRenamed("root", "v")
+    smallest = owners.join(linked, F.col("vertex") == F.col("v"), "left_semi").groupBy("root").agg(F.min("owner").alias("smallest")).withColumnRenamed("root", "of")
+    named = owners.join(smallest, F.col("root") == F.col("of"), "left").select(F.col("set_id").alias("of_set"), F.coalesce("smallest", "owner").alias("component"), "root")
+    answered = rows.select("doc_id", "id", "n", "set_id", "tid").join(named, F.col("set_id") == F.col("of_set"), "left").withColumn("component", F.coalesce("component", "id"))
+    return answered.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"), "tid", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, with all their columns."""
-    kept = near_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of ``docs`` with the smallest id of their group, with all their columns.
+
+    Of rows that repeat an id and its text one stays.  If rows with the smallest id have different texts of the group, the one whose text has
+    the least digest stays.  Rows with null ids count as the largest.
+    """
+    kept = near_groups(docs).filter("kept")
+    alone = kept.groupBy(F.coalesce(F.col("root").cast("string"), F.concat_ws(":", F.hex("tid"), "doc_id")).alias("group")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "tid", "doc_id")).alias("first"))
+    return one_row_each(docs, alone.select("first.doc_id", "first.tid"))
 
 
 def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tid", "root")

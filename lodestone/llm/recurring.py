@@ -15,13 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_table, per_process, text_of
+from .shared import NO_ID, keep_table, per_process, text_id, text_of
 
 BASE = 0x9E3779B97F4A7C15
-NO_ID = 2**63 - 1
 #: Distinct spans of one anchor that one task may hold together; more are told apart by the hashes of their windows.
 CROWD = 2000
 
@@ -95,10 +94,6 @@ def spans(units: np.ndarray, kind: Windows) -> tuple[np.ndarray, np.ndarray, np.
     return phrases[at[first]].view(np.int64), first, np.diff(np.r_[first, n])
 
 
-def text_id(docs: DataFrame) -> Column:
-    return F.unhex(F.md5(text_of(docs).cast("binary")))
-
-
 def signatures(docs: DataFrame, kind: Windows) -> DataFrame:
     """doc_id, id (null as the largest), tid (names the text), n units, sha256 of the units, and the spans' anchors and places."""
 

@@ -175,7 +175,10 @@ def brute_near(rows):
     return Counter((rows[k][0], len(sets[k]), least[find(k)], rows[k][0] == least[find(k)]) for k in range(len(rows)))
 
 
-def test_near(spark):
+@pytest.mark.parametrize("held,passing", [(near.HELD, near.PASSING), (2000, 9)])
+def test_near(spark, monkeypatch, held, passing):
+    monkeypatch.setattr(near, "HELD", held)
+    monkeypatch.setattr(near, "PASSING", passing)
     r = random.Random(7)
     rows = corpus()
     base = [f"v{r.randrange(5000)}" for _ in range(300)]
@@ -265,10 +268,36 @@ def test_mix(spark):
         s[2], s[3] = r.target, max(s[3], r.size)
     assert abs(sum(s[2] for s in by.values()) - 1.5 * sum(s[0] for s in by.values())) < 1e-6
     assert all(s[2] <= 2 * s[0] + 1e-9 and abs(s[1] - s[2]) <= s[3] for s in by.values())
+    # Up to any moment each source has had its part of the integrated schedule, within a document.
+    names = sorted(by, key=lambda s: (s is None, s))
+    for moment in (0.1, 0.25, 0.5, 0.8, 1.0):
+        had = defaultdict(int)
+        for r in mix:
+            had[r.source] += r.size * sum(p <= moment for p in r.positions)
+        for k, s in enumerate(names):
+            slope = mixing.TILT if k % 2 == 0 else -mixing.TILT
+            demand = by[s][2] * ((1 - slope) * moment + slope * moment * moment)
+            assert abs(had[s] - demand) <= by[s][3] + 1e-6
     order = mixing.training_order(documents(spark, rows[7:27])).select("mix_position").collect()
     assert [r.mix_position for r in order] == sorted(r.mix_position for r in order)
 
 
+def test_rows_that_repeat(spark):
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (2, "ab", "s"), (2, "other text", "s"), (None, "a  b", None), (None, None, None), (None, None, None)]
+    once = exact.without_copies(documents(spark, rows))
+    assert sorted((r.doc_id or 0, r.text or "") for r in once.collect()) == [(0, ""), (0, "a  b"), (2, "other text")]
+    words = [" ".join(f"w{k}" for k in range(100)), " ".join(f"w{k}" for k in range(98))]
+    near_rows = [(5, words[0], "s"), (5, words[0], "s"), (5, words[1], "s"), (6, words[1], "t"), (5, "something else here", "s"), (None, words[1], "s"), (7, None, "s")]
+    kept = [(r.doc_id, len((r.text or "").split())) for r in near.one_of_each(documents(spark, near_rows)).collect()]
+    assert sorted(kept)[0] == (5, 3) and sorted(kept)[2] == (7, 0) and sorted(kept)[1] in ((5, 98), (5, 100)) and len(kept) == 3
+    mix_rows = [(3, "x y z", "s")] * 3 + [(4, "u v", "t"), (None, "u v", None), (None, "p q r", None), (9, None, "t")]
+    sizes = Counter()
+    for r in mixing.mix_sources(documents(spark, mix_rows)).collect():
+        sizes[r.doc_id, r.size] += len(r.positions)
+    got = Counter((r.doc_id, len(r.text.split())) for r in mixing.training_order(documents(spark, mix_rows)).collect())
+    assert got == +sizes and got[3, 3] <= 6
+
+
 def test_quality_keeps_and_rejects(spark):
     r = random.Random(4)
     clean = [(k, ". ".join(" ".join(f"{r.choice('abcdefgh')}{r.choice('xyzuvw')}{r.randrange(900)}" for _ in range(12)) for _ in range(8)), "s") for k in range(200)]
