@@ -21,8 +21,8 @@ from .shared import get_file, per_process, put_file, run_dir, text_of
 MAGIC = b"LDTOKEN1"
 TAIL = "<QQQQHI8s"
 BLOCK = 1 << 16
-#: Units of text whose ids a task remembers; beyond it, the memory starts anew.
-REMEMBERED = 300_000
+#: Units of text, and runs of letters or signs, whose ids a task remembers, and as many from before; code points of text that it encodes in one go.
+REMEMBERED, AT_ONCE = 400_000, 1 << 22
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -55,8 +55,13 @@ class Writer:
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """A document with its first ids."""
         self.doc_ids.append(-1 if doc_id is None else doc_id)
         self.starts.append(self.n_ids)
+        self.add_ids(ids)
+
+    def add_ids(self, ids: np.ndarray) -> None:
+        """More ids of the last document."""
         self.n_ids += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -108,13 +113,30 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(end - self.starts[k]))
 
 
+class Memory:
+    """Keys with their ids, as bytes: those of late, and as many from before, which are taken over as they come back."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def fresh(self, needed: set[str]) -> set[str]:
+        """Those of ``needed`` that are not known; all others are in ``now`` from here on."""
+        new = needed - self.now.keys()
+        if len(self.now) + len(new) > self.size:
+            self.before, self.now, new = self.now, {}, needed
+        for k in new & self.before.keys():
+            self.now[k] = self.before[k]
+        return new - self.before.keys()
+
+
 class UnitEncoder:
-    """The tokenizers library on units of a text, with a memory of the ids of units seen before.
+    """The tokenizers library on units of texts, with a memory of the ids of units seen before.
 
     A text is cut before each space that a character other than white space follows.  Byte-level
     pre-tokenization never joins the two sides of such a cut, nor does it look across one, so the ids of
     the units in a row are the ids of the whole text.  The pre-tokens of a plain unit, one with single line ends inside at most, are
-    its runs of letters, digits and signs, which go to the library's BPE model at once; any other unit goes through the whole tokenizer.
+    its runs of letters, digits and signs, which go to the library's BPE model, many at once, with line ends between them to tell where
+    each one's ids end; any other unit goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -122,51 +144,95 @@ class UnitEncoder:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # The same model on pieces that are cut already.
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\x1f")
+        self.units, self.runs_known = Memory(REMEMBERED), Memory(REMEMBERED)
         self.odd, self.cut = re.compile(r" (?:\s|\Z)").search, re.compile(r" (?=\S)").split
         # Letters up to U+02AF, digits, and ASCII signs but for the apostrophe and "<", which start contractions and special tokens.
         runs = "[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u02AF]+", "[0-9]+", r"[!-&(-/:;=>?@\[-`{-~]+"
         any_run = "(?:" + "|".join(runs) + ")+"
-        self.plain, self.runs = re.compile(f"{any_run}(?:\n{any_run})*").fullmatch, re.compile("|".join([*runs, "\n"])).findall
+        self.plain, self.runs = re.compile(f"{any_run}(?:\n{any_run})*").fullmatch, re.compile("|".join([*(f" ?{r}" for r in runs), "\n"])).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100 on
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
+        self.line_end = self.tokenizer.token_to_id(self.byte_chars[10])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if (found := self.words.get(word)) is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            mapped = word.encode().decode("latin-1").translate(self.byte_chars)
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        return found
-
-    def _unit(self, unit: str) -> bytes:
-        if self.plain(unit):
-            first, *rest = self.runs(unit)
-            ids = b"".join([self._word(" " + first), *map(self._word, rest)])
-        else:
-            ids = self._whole(" " + unit)
-        if len(self.units) >= REMEMBERED:
-            self.units.clear()
-        self.units[unit] = ids
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        units = self.cut(text) if self.odd(text) else text.split(" ")
-        known = self.units.get
-        ids = [known(u) or self._unit(u) for u in units[1:]]
-        return np.frombuffer((self._whole(units[0]) if units[0] else b"") + b"".join(ids), "<u4")
+    def _runs(self, fresh: list[str]) -> list[bytes]:
+        """The ids of runs without line ends."""
+        end = self.byte_chars[10]
+        mapped = "\n".join(fresh).encode().decode("latin-1").translate(self.byte_chars).replace(end, f"\x1f{end}\x1f")
+        ids = np.array(self.pieces.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+        data, ends = ids.tobytes(), np.flatnonzero(ids == self.line_end).tolist()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Remember the ids of units that are not known yet."""
+        plain = [u for u in fresh if self.plain(u)]
+        runs = [self.runs(" " + u) for u in plain]
+        known = self.runs_known
+        new = [*known.fresh(set().union(*runs) - {"\n"})]
+        if new:
+            known.now.update(zip(new, self._runs(new), strict=True))
+        known.now["\n"] = np.array([self.line_end], "<u4").tobytes()
+        ids = known.now.__getitem__
+        units = self.units.now
+        units.update(zip(plain, [b"".join(map(ids, r)) for r in runs], strict=True))
+        for u in fresh.difference(plain):
+            units[u] = self._whole(" " + u)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        import pyarrow.compute as pc
+
+        kind = pa.large_list(pa.large_string())
+        odd = [k for k, t in enumerate(texts) if self.odd(t)]
+        even = sorted({*range(len(texts))}.difference(odd))
+        split = [pc.split_pattern(pa.array([texts[k] for k in even], pa.large_string()), " ").cast(kind), pa.array([self.cut(texts[k]) for k in odd], kind)]
+        units = pa.concat_arrays(split)
+        counts = pc.list_value_length(units).to_numpy(zero_copy_only=False)
+        values = units.flatten()
+        first = np.r_[0, np.cumsum(counts)]
+        tail = np.ones(len(values), bool)
+        tail[first[:-1]] = False  # the first unit has no space before it
+        heads = values.take(pa.array(first[:-1])).to_pylist()
+        found = values.filter(pa.array(tail)).dictionary_encode()
+        names = found.dictionary.to_pylist()
+        if fresh := self.units.fresh(set(names)):
+            self._learn(fresh)
+        data = [*map(self.units.now.__getitem__, names)]
+        flat = np.frombuffer(b"".join(data), "<u4")
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        begins = np.cumsum(sizes) - sizes
+        at = found.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = flat[np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[first - np.arange(len(first))]
+        out: list[np.ndarray] = [None] * len(texts)
+        for k, h, a, b in zip([*even, *odd], heads, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[k] = np.concatenate([np.frombuffer(self._whole(h), "<u4"), ids[a:b]]) if h else ids[a:b]
+        return out
+
+
+def some(ids: list, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
+    """Documents in a row with about ``AT_ONCE`` code points together, or a longer one by itself."""
+    first, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1])
+        if size >= AT_ONCE:
+            yield ids[first : k + 1], held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield ids[first:], held
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
@@ -195,8 +261,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder:
         def fill(out):
             w, b = Writer(out, bits), head
             while b is not None:
-                for k in range(b.num_rows):
-                    w.add(b[0][k].as_py(), np.concatenate([encoder.encode(b[1][k].as_py()), end]))
+                for ids, texts in some(b[0].to_pylist(), b[1]):
+                    for doc_id, found in zip(ids, encoder.encode(texts), strict=True):
+                        w.add(doc_id, found)
+                        w.add_ids(end)
                 b = next(batches, None)
             w.close()
             told.update(n_ids=w.n_ids, n_docs=len(w.doc_ids), first=w.doc_ids[0])
