@@ -86,7 +86,7 @@ def streamed_state(seen: DataFrame, files_a_batch: int = 64) -> DataFrame:
     entries = spark.read.parquet(f"{folder}/entries")
     if len(entries.select("batch").distinct().take(2)) > 1:
         # Counts of a digest only grow.
-        entries = entries.groupBy("digest").agg(F.max(F.struct("n", "best")).alias("x")).select("digest", "x.n", "x.best")
+        entries = keep_table(entries.groupBy("digest").agg(F.max(F.struct("n", "best")).alias("x")).select("digest", "x.n", "x.best"), "exact-state")
     return entries.select("digest", "n", F.col("best.doc_id").alias("keep_id"), F.col("best.row_key").alias("keep_key"))
 
 
@@ -97,6 +97,8 @@ def bytes_differ(docs: DataFrame, hits: DataFrame) -> DataFrame:
     squeezed = F.translate("text", GAP_CHARS, "")
     # The locators are few; the texts behind them are fetched once for all rows that hit them.
     kept = hits.select(F.col("digest").alias("kept_digest"), "keep_id", "keep_key").distinct().join(texts, at("keep_id", "keep_key")).select("kept_digest", squeezed.alias("kept_text")).dropDuplicates(["kept_digest"])
+    # A table of its own, so that the join can be split where one group has much of all rows.
+    kept = keep_table(kept, "exact-kept")
     mine = hits.select("doc_id", "row_key", "digest").distinct().join(texts, at("doc_id", "row_key")).select("digest", squeezed.alias("squeezed"))
     return mine.join(kept, F.col("digest") == F.col("kept_digest")).filter(F.col("squeezed") != F.col("kept_text")).select("digest").distinct()
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .recurring import Windows, by_anchor, candidates, chunks, distinct_spans, merged, window_rows
+from .recurring import Windows, candidates, chunks, distinct_spans, found_by, merged
 from .shared import keep_table
 
 #: Bytes of spans whose passages one automaton holds.
@@ -79,14 +79,6 @@ def located_in_shards(few: DataFrame, window: int) -> DataFrame:
     return few.select("anchor", "key", "content", "times", "low", "high").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(read, HITS)
 
 
-def located_by_window(crowd: DataFrame, kind: Windows) -> DataFrame:
-    """The same for spans of an anchor with too many of them: each window by itself, grouped by its hash."""
-    rows = window_rows(crowd, kind)
-    owners = rows.groupBy("h").agg(F.min("low").alias("m"), F.max("high").alias("top")).filter("m < top").select(F.col("h").alias("of"), "m")
-    places = rows.join(owners, F.col("h") == F.col("of")).filter("m < high")
-    return places.groupBy("key").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + kind.window).alias("b"), "m")).alias("parts"))
-
-
 def without_passages(docs: DataFrame, window: int = 50, phrase: int = 16) -> DataFrame:
     """A row for each row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256.
 
@@ -97,8 +89,7 @@ def without_passages(docs: DataFrame, window: int = 50, phrase: int = 16) -> Dat
     """
     kind = Windows(window, phrase, True)
     sig, texts, found, cut = candidates(docs, kind, "phrases")
-    few, crowd = by_anchor(keep_table(distinct_spans(cut), "phrases-distinct"))
-    hits = located_in_shards(few, window).unionByName(located_by_window(crowd, kind))
+    hits = found_by(lambda few: located_in_shards(few, window), keep_table(distinct_spans(cut), "phrases-distinct"), kind, "phrases")
     places = cut.filter("tid IS NOT NULL").select("key", "tid", "owner", "first").alias("c").join(hits.alias("h"), F.col("c.key") == F.col("h.key"))
     mine = F.transform(F.filter("h.parts", lambda p: p["m"] < F.col("c.owner")), lambda p: F.struct((p["a"] + F.col("c.first")).alias("a"), (p["b"] + F.col("c.first")).alias("b")))
     removed = places.select("c.tid", mine.alias("parts")).filter(F.size("parts") > 0).groupBy("tid").agg(F.flatten(F.collect_list("parts")).alias("parts"))

@@ -10,7 +10,7 @@ recurs are the candidates, and every recurring window lies inside one of them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import NO_ID, keep_table, per_process, text_id, text_of
 
 BASE = 0x9E3779B97F4A7C15
-#: Distinct spans of one anchor that one task may hold together; more are told apart by the hashes of their windows.
+#: Distinct spans of one anchor that a task holds together; where there are more, their windows are dealt out by more phrases than the anchor.
 CROWD = 2000
 
 
@@ -125,11 +125,14 @@ def texts_once(sig: DataFrame) -> DataFrame:
     return one.filter(F.size("s.anchor") > 0)
 
 
-def candidate_spans(texts: DataFrame) -> DataFrame:
-    """tid and the places of its spans whose anchor occurs in two texts, or twice in one."""
+def candidate_spans(texts: DataFrame, name: str) -> DataFrame:
+    """tid and the places of its spans whose anchor occurs in two texts, or twice in one.
+
+    The anchors that do are a table of their own, so that the join with them can be split where one anchor has much of all rows.
+    """
     zipped = F.explode(F.arrays_zip("s.anchor", "s.first", "s.count")).alias("z")
     rows = texts.select("tid", zipped).select("tid", "z.anchor", "z.first", "z.count")
-    twice = rows.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("anchor").alias("twice"))
+    twice = keep_table(rows.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("anchor").alias("twice")), f"{name}-anchors")
     found = rows.join(twice, F.col("anchor") == F.col("twice"))
     return found.groupBy("tid").agg(F.collect_list(F.struct("first", "count", "anchor")).alias("places"))
 
@@ -187,20 +190,68 @@ def by_anchor(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     return few, distinct.join(crowded, F.col("anchor") == F.col("crowded"), "left_semi")
 
 
-def window_rows(distinct: DataFrame, kind: Windows) -> DataFrame:
-    """key, at, and a hash of 128 bits for every window of spans too many to be looked at together."""
+def finer(hashes: np.ndarray, kind: Windows, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``spans`` with the ``most`` least phrases of a window for its anchor; with as many as a window has, the window itself."""
+    phrases = rolling(hashes, kind.phrase)
+    width = kind.window - kind.phrase + 1
+    if most >= width:
+        keys = rolling(hashes, kind.window)
+        return keys.view(np.int64), np.arange(len(keys)), np.ones(len(keys), np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(phrases, width)
+    least = np.sort(np.partition(view, most - 1, axis=1)[:, :most], axis=1)
+    keys = np.zeros(len(least), np.uint64)
+    for k in range(most):
+        keys = mixed(keys * np.uint64(BASE) + least[:, k])
+    # Where the least phrase, of equal ones the last, changes its place, a window may come again.
+    at = np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1)
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])])
+    return keys[first].view(np.int64), first, np.diff(np.r_[first, len(keys)])
+
+
+def finer_spans(crowd: DataFrame, kind: Windows, most: int) -> DataFrame:
+    """Spans cut into shorter ones: parent (the key of what was cut), at (its place there), and the columns of ``distinct_spans``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        kinds = pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()
+        names = ["parent", "at", "anchor", "key", "content", "times", "low", "high"]
         for b in batches:
-            for key, content, times, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                units = content.split(b" ") if kind.words else content
-                h = [xxhash.xxh3_128_digest(kind.joined(units[k : k + kind.window])) for k in range(len(units) - kind.window + 1)]
-                same = lambda x, t, h=h: pa.array([x] * len(h), t)
-                yield pa.RecordBatch.from_arrays([same(key, pa.binary()), pa.array(range(len(h)), pa.int32()), pa.array(h, pa.binary()), same(times, pa.int64()), same(low, pa.int64()), same(high, pa.int64())], names=["key", "at", "h", "times", "low", "high"])
+            for k in range(0, b.num_rows, 64):
+                rows = []
+                for parent, content, times, low, high in zip(*(c.to_pylist() for c in b.slice(k, 64).columns), strict=True):
+                    units = content.split(b" ") if kind.words else content
+                    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units)) if kind.words else np.frombuffer(content, np.uint8).astype(np.uint64)
+                    for anchor, at, n in zip(*(x.tolist() for x in finer(hashes, kind, most)), strict=True):
+                        part = kind.joined(units[at : at + n + kind.window - 1])
+                        rows.append((parent, at, anchor, xxhash.xxh3_128_digest(part), part, times, low, high))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return crowd.select("key", "content", "times", "low", "high").mapInArrow(read, "parent binary, at int, anchor long, key binary, content binary, times long, low long, high long")
+
 
-    return distinct.select("key", "content", "times", "low", "high").mapInArrow(read, "key binary, at int, h binary, times long, low long, high long")
+def found_by(look: Callable[[DataFrame], DataFrame], distinct: DataFrame, kind: Windows, name: str) -> DataFrame:
+    """What ``look`` finds in spans that share an anchor, for all ``distinct`` spans: key and parts, one or more rows for a key.
+
+    Spans of an anchor that has too many are cut where the least two phrases of their windows change, then four, and so on, up to whole windows, of
+    which an anchor has but one; what is found in a piece holds at its place in the span.
+    """
+    hits, cuts, most = None, [], 1
+    while True:
+        few, crowd = by_anchor(distinct)
+        found = look(few)
+        for places in reversed(cuts):
+            moved = F.transform("parts", lambda p: p.withField("a", p["a"] + F.col("at")).withField("b", p["b"] + F.col("at")))
+            found = found.withColumnRenamed("key", "of").join(places, F.col("of") == F.col("key")).select(F.col("parent").alias("key"), moved.alias("parts"))
+        hits = found if hits is None else hits.unionByName(found)
+        if crowd.isEmpty():
+            return hits
+        most *= 2
+        fine = keep_table(finer_spans(crowd, kind, most), f"{name}-finer")
+        cuts.append(fine.select("parent", "at", "key"))
+        same = fine.groupBy("key").agg(F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high"))
+        distinct = keep_table(same.select("anchor", "key", "content", "times", "low", "high"), f"{name}-distinct")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[list[tuple]]:
@@ -233,5 +284,5 @@ def candidates(docs: DataFrame, kind: Windows, name: str) -> tuple[DataFrame, Da
     """Signatures, different texts, texts with candidates, and their spans, each a table in the shared folder."""
     sig = keep_table(signatures(docs, kind), f"{name}-signatures")
     texts = keep_table(texts_once(sig), f"{name}-texts")
-    found = keep_table(candidate_texts(docs, candidate_spans(texts), texts), f"{name}-candidates")
+    found = keep_table(candidate_texts(docs, candidate_spans(texts, name), texts), f"{name}-candidates")
     return sig, texts, found, keep_table(cut_out(found, kind), f"{name}-spans")

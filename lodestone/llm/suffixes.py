@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .recurring import Windows, by_anchor, candidates, chunks, distinct_spans, merged, window_rows
+from .recurring import Windows, candidates, chunks, distinct_spans, found_by, merged
 from .shared import keep_table
 
 #: Bytes of spans that are sorted together.
@@ -174,14 +174,6 @@ def found_in_shards(few: DataFrame, window: int) -> DataFrame:
     return few.select("anchor", "key", "content", "times").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(read, HITS)
 
 
-def found_by_window(crowd: DataFrame, kind: Windows) -> DataFrame:
-    """The same for spans of an anchor with too many of them: each window by itself, grouped by its hash."""
-    rows = window_rows(crowd, kind)
-    twice = rows.groupBy("h").agg(F.sum("times").alias("all")).filter("all > 1").select(F.col("h").alias("of"))
-    places = rows.join(twice, F.col("h") == F.col("of"))
-    return places.groupBy("key").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + kind.window).alias("b"))).alias("parts"))
-
-
 def without_repeats(docs: DataFrame, window: int = 400, phrase: int = 96) -> DataFrame:
     """A row for each row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -192,8 +184,7 @@ def without_repeats(docs: DataFrame, window: int = 400, phrase: int = 96) -> Dat
     """
     kind = Windows(window, phrase, False)
     sig, texts, found, cut = candidates(docs, kind, "suffixes")
-    few, crowd = by_anchor(keep_table(distinct_spans(cut), "suffixes-distinct"))
-    hits = found_in_shards(few, window).unionByName(found_by_window(crowd, kind))
+    hits = found_by(lambda few: found_in_shards(few, window), keep_table(distinct_spans(cut), "suffixes-distinct"), kind, "suffixes")
     places = cut.filter("tid IS NOT NULL AND copies = 1").select("key", "tid", "first").alias("c").join(hits.alias("h"), F.col("c.key") == F.col("h.key"))
     mine = F.transform("h.parts", lambda p: F.struct((p["a"] + F.col("c.first")).alias("a"), (p["b"] + F.col("c.first")).alias("b")))
     removed = places.select("c.tid", mine.alias("parts")).groupBy("tid").agg(F.flatten(F.collect_list("parts")).alias("parts"))

@@ -84,7 +84,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "202
     folder = folder or run_dir(pages.sparkSession, "warc")
     html = F.coalesce(pages["html"], F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"))
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("response_id")).withColumnRenamed("digest", "of")
+    # A table of its own, so that the join with it can be split where one payload has much of all rows.
+    first = keep_table(rows.groupBy("digest").agg(F.max("page_id").alias("response_id")).withColumnRenamed("digest", "of"), "warc-responses")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

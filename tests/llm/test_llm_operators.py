@@ -93,7 +93,7 @@ def brute_phrases(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("window,phrase,crowd", [(50, 16, 2000), (6, 2, 2), (6, 6, 2000)])
+@pytest.mark.parametrize("window,phrase,crowd", [(50, 16, 2000), (50, 16, 3), (6, 2, 2), (6, 2, 1), (6, 6, 2000)])
 def test_phrases(spark, monkeypatch, window, phrase, crowd):
     monkeypatch.setattr(recurring, "CROWD", crowd)
     rows = corpus()
@@ -115,7 +115,7 @@ def brute_suffixes(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("window,phrase,crowd", [(400, 96, 2000), (24, 8, 2)])
+@pytest.mark.parametrize("window,phrase,crowd", [(400, 96, 2000), (400, 96, 2), (24, 8, 1)])
 def test_suffixes(spark, monkeypatch, window, phrase, crowd):
     monkeypatch.setattr(recurring, "CROWD", crowd)
     rows = corpus()
