@@ -66,28 +66,69 @@ def positive_pairs(docs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", F.col("variant").alias("query"), F.col("text").alias("passage"), F.lit(1).alias("label"), F.lit("positive").alias("pair_type"), F.lit("easy").alias("difficulty"))
 
 
+def numbered(rows: DataFrame, group: list[str], run: list[str], order: list[str]) -> DataFrame:
+    """The rows with place, from 0 on in the order of ``run`` and ``order``, and members, how many their group has.
+
+    ``run`` cuts a group into short runs; places within a run are added to those before it, so no task gets a whole group.
+    """
+    first = Window.partitionBy(*group).orderBy(*run)
+    counts = rows.groupBy(*group, *run).agg(F.count("*").alias("in_run"))
+    starts = counts.withColumns({"before": F.sum("in_run").over(first.rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_run"), "members": F.sum("in_run").over(Window.partitionBy(*group))}).drop("in_run")
+    within = rows.withColumn("at", F.row_number().over(Window.partitionBy(*group, *run).orderBy(*order)))
+    return within.join(starts, [*group, *run]).withColumn("place", F.col("before") + F.col("at") - 1).drop("before", "at")
+
+
 def hard_negatives(docs: DataFrame, anchors: DataFrame, each: int = 2, spread: int = 30, seed: int = 42) -> DataFrame:
-    """doc_id, other_id, kind: for each anchor ``each`` other texts of its work, of its category and another work, and of a length within ``spread`` per cent.
+    """doc_id, other_id, kind: for each anchor ``each`` other texts of its work, of its category and another work, and of a length within ``spread``
+    per cent, and random ones for those of them that there are not.
 
-    Candidates come by joins, the one on length by buckets so that only lengths nearby meet.  In each source, category
-    or bucket a text has a place in a shuffled order, and an anchor takes those that follow its own place: no
-    anchor meets a whole group, however large it is.
+    Different texts of a group have places in a shuffled order, and what an anchor may take is one stretch of places: all of its work, all of its
+    category but the stretch of its work, or the lengths nearby.  It goes round that stretch from a place drawn by lot, as far as it may meet its own text, so no
+    anchor meets a whole group, and none that there is is missed.  Rows whose work, category or text is null have no partner by these.
     """
-    base = docs.select("doc_id", F.md5(whole(F.col("text"))).alias("content"), "source", "lang", F.length("text").alias("n"))
-    step = F.log(F.lit(1 + spread / 100))
-    bucketed = base.withColumn("bucket", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / step).cast("int"))
-    take = 4 * each
-    out = None
-    for kind, keys, other in (("same_work", ["source"], F.lit(True)), ("same_category", ["lang"], F.col("a.source") != F.col("b.source")), ("similar_length", ["bucket"], (F.col("b.n") >= F.col("a.n") * (1 - spread / 100)) & (F.col("b.n") <= F.col("a.n") * (1 + spread / 100)))):
-        ring = Window.partitionBy(*keys).orderBy(lot("doc_id", seed=seed), "doc_id")
-        placed = bucketed.withColumns({"place": F.row_number().over(ring), "members": F.count("*").over(Window.partitionBy(*keys))})
-        a = placed.join(anchors.select("doc_id"), "doc_id", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(take)))).withColumn("want", (F.col("place") + F.col("k") - 1) % F.col("members") + 1)
-        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
-        met = a.alias("a").join(placed.alias("b"), [*same, F.col("a.want") == F.col("b.place")]).filter((F.col("a.content") != F.col("b.content")) & other)
-        best = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other_id")).agg(F.min("a.k").alias("k"))
-        pick = best.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "other_id"))).filter(F.col("r") <= each).select("doc_id", "other_id", F.lit(kind).alias("kind"))
-        out = pick if out is None else out.unionByName(pick)
-    return out
+    low, high = 1 - spread / 100, 1 + spread / 100
+    draw = F.conv(F.substring("lot", 1, 15), 16, 10).cast("long")
+    base = docs.select("doc_id", F.md5(F.col("text")).alias("content"), "source", "lang", F.length("text").alias("n"), lot("doc_id", seed=seed).alias("lot")).filter("content IS NOT NULL")
+    first = lambda keys: base.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct("lot", "doc_id", "n")).alias("m")).select(*keys, "m.lot", "m.doc_id", "m.n").withColumn("run", F.substring("lot", 1, 3))
+    wanted = base.join(anchors.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("drawn", draw)
+    same = lambda keys: [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
+    steps = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))).alias("k")
+
+    def met(rows: DataFrame, reps: DataFrame, keys: list[str], kind: str) -> DataFrame:
+        """Of ``rows(doc_id, content, k, want)`` the first with another text."""
+        found = rows.alias("a").join(reps.alias("b"), [*same(keys), F.col("a.want") == F.col("b.place")]).filter(F.col("a.content") != F.col("b.content"))
+        picked = found.select(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other_id"), F.col("a.k").alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")))
+        return picked.filter(F.col("r") <= each).select("doc_id", "other_id", F.lit(kind).alias("kind"))
+
+    works = numbered(first(["source", "content"]), ["source"], ["run"], ["lot", "doc_id"])
+    here = wanted.alias("a").join(works.alias("b"), same(["source", "content"])).select("a.doc_id", "a.source", "a.content", "b.place", "b.members", steps(F.least(F.lit(each), F.col("b.members") - 1)))
+    same_work = met(here.withColumn("want", (F.col("place") + F.col("k") + 1) % F.col("members")), works, ["source"], "same_work")
+
+    categories = numbered(first(["lang", "source", "content"]), ["lang"], ["source", "run"], ["lot", "doc_id"])
+    blocks = categories.groupBy("lang", "source").agg(F.min("place").alias("begin"), F.count("*").alias("own"), F.max("members").alias("members"))
+    alike = categories.groupBy("lang", "content").agg(F.count("*").alias("alike"))
+    here = wanted.join(blocks, ["lang", "source"]).join(alike, ["lang", "content"]).withColumn("others", F.col("members") - F.col("own"))
+    here = here.select("doc_id", "lang", "content", "drawn", "begin", "own", "members", "others", steps(F.least(F.col("others"), F.lit(each) + F.col("alike"))))
+    same_category = met(here.withColumn("want", (F.col("begin") + F.col("own") + (F.col("drawn") + F.col("k")) % F.col("others")) % F.col("members")), categories, ["lang"], "same_category")
+
+    texts = first(["content"]).withColumn("all", F.lit(0))
+    lengths = numbered(texts, ["all"], ["n", "run"], ["lot", "doc_id"])
+    # How many texts are shorter than each length that is asked for: one row for each different length.
+    marks = wanted.select("n").distinct()
+    at = texts.groupBy(F.col("n").cast("double").alias("x")).agg(F.count("*").alias("c")).select("x", F.lit(1).alias("turn"), "c", F.lit(None).cast("int").alias("n"))
+    asked_for = marks.select((F.col("n") * F.lit(low)).alias("x"), F.lit(0).alias("turn"), F.lit(0).alias("c"), "n").unionByName(marks.select((F.col("n") * F.lit(high)).alias("x"), F.lit(2).alias("turn"), F.lit(0).alias("c"), "n"))
+    upto = at.unionByName(asked_for).withColumn("upto", F.sum("c").over(Window.orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, 0))).filter("n IS NOT NULL")
+    near = upto.groupBy("n").agg(F.max(F.when(F.col("turn") == 0, F.col("upto"))).alias("begin"), F.max(F.when(F.col("turn") == 2, F.col("upto"))).alias("end")).withColumn("some", F.col("end") - F.col("begin"))
+    here = wanted.join(near, "n").withColumn("all", F.lit(0)).select("doc_id", "all", "content", "drawn", "begin", "some", steps(F.least(F.col("some"), F.lit(each + 1))))
+    similar_length = met(here.withColumn("want", F.col("begin") + (F.col("drawn") + F.col("k")) % F.col("some")), lengths, ["all"], "similar_length")
+
+    chosen = same_work.unionByName(same_category).unionByName(similar_length)
+    counted = wanted.join(chosen.groupBy("doc_id").agg(F.count("*").alias("got")), "doc_id", "left").withColumn("need", F.lit(3 * each) - F.coalesce("got", F.lit(0))).filter("need > 0")
+    every = numbered(texts, ["all"], ["run"], ["lot", "doc_id"])
+    here = counted.join(every.select("content", "place", "members"), "content").select("doc_id", "content", "need", "place", "members", steps(F.least(F.col("members") - 1, F.col("need") + 3 * each))).withColumn("want", (F.col("place") + F.col("k") + 1) % F.col("members"))
+    others = here.alias("a").join(every.alias("b"), F.col("a.want") == F.col("b.place")).select("a.doc_id", F.col("b.doc_id").alias("other_id"), "a.k", "a.need").join(chosen.select("doc_id", "other_id"), ["doc_id", "other_id"], "left_anti")
+    fill = others.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))).filter(F.col("r") <= F.col("need")).select("doc_id", "other_id", F.lit("random").alias("kind"))
+    return chosen.unionByName(fill)
 
 
 def exact_grid(docs: DataFrame, ratios=(0.2, 0.35, 0.5, 0.65), starts=(0.0, 0.25, 0.5), least: int = 15) -> DataFrame:

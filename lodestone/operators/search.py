@@ -206,18 +206,50 @@ def fused_search(docs: DataFrame, queries: DataFrame, k: int, table: dict[str, l
     return top(both.select("query_id", "doc_id", F.round(score, 6).alias("score"), F.round("base", 6).alias("base"), F.round("partial", 6).alias("partial")), k)
 
 
+def words_with(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """word, term for every word of ``words(word)`` that has a term of ``terms(term)`` inside it.
+
+    A word meets the terms that begin with one, two or three characters in a row that it has, terms of one or two characters being
+    these themselves; only then is looked for the whole term.
+    """
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda k: F.substring("word", k, F.lit(n)))
+    grams = words.select("word", F.explode(F.array_distinct(F.concat(run(1), run(2), run(3)))).alias("gram"))
+    asked_for = terms.select("term", F.substring("term", 1, 3).alias("gram"))
+    return grams.join(asked_for, "gram").filter(F.contains("word", F.col("term"))).select("word", "term")
+
+
 def simple_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Query terms as words count 2, inside words 1; several found terms raise the score, long texts lower it."""
-    # A term has no gap, so what contains it in the text contains it in a word.
-    terms = queries.select("query_id", tokens(F.lower("query")).alias("terms"))
-    d = docs.select("doc_id", F.lower("text").alias("low"), tokens(F.lower("text")).alias("w"))
-    pairs = d.join(F.broadcast(terms), F.exists("terms", lambda t: F.contains(F.col("low"), t)))
-    points = F.transform("terms", lambda t: F.when(F.array_contains("w", t), 2.0).when(F.contains(F.col("low"), t), 1.0).otherwise(0.0))
-    found = F.size(F.filter("points", lambda p: p > 0))
-    total = F.aggregate("points", F.lit(0.0), lambda a, p: a + p)
-    boost = F.when((F.size("points") > 1) & (found > 1), 1 + 0.2 * found).otherwise(1.0)
-    scored = pairs.select("query_id", "doc_id", F.size("w").alias("n"), points.alias("points")).select("query_id", "doc_id", F.round(total * boost / (1 + F.col("n") / 100), 6).alias("score"))
-    return top(scored.filter("score > 0"), k)
+    """Query terms as words count 2, inside words 1; several found terms raise the score, long texts lower it.
+
+    A term has no gap, so what has it in the text has it in a word: terms meet the different words of the corpus, and documents meet
+    these by their words, so no text is searched for every term.
+    """
+    asked_for = queries.select("query_id", tokens(F.lower("query")).alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("query_id", "n_terms", "term").agg(F.count("*").alias("times"))
+    words = docs.select("doc_id", tokens(F.lower("text")).alias("w")).select("doc_id", F.size("w").alias("n"), F.explode(F.array_distinct("w")).alias("word"))
+    met = words_with(words.select("word").distinct(), asked_for.select("term").distinct())
+    points = F.max(F.when(F.col("word") == F.col("term"), 2.0).otherwise(1.0)).alias("points")
+    has = words.join(met, "word").groupBy("doc_id", "n", "term").agg(points)
+    sums = has.join(asked_for, "term").groupBy("query_id", "doc_id", "n", "n_terms").agg(F.sum(F.col("points") * F.col("times")).alias("total"), F.sum("times").cast("int").alias("found"))
+    boost = F.when((F.col("n_terms") > 1) & (F.col("found") > 1), 1 + 0.2 * F.col("found")).otherwise(1.0)
+    return top(sums.select("query_id", "doc_id", F.round(F.col("total") * boost / (1 + F.col("n") / 100), 6).alias("score")).filter("score > 0"), k)
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, doc_id of the documents whose text has that of ``items(query_id, item)`` in it.
+
+    The longest word of an item that has others on both sides is a word of every such document, and documents are looked
+    through only for items they share that word with; the first word of an item without one is a part of a word there.  An item
+    without words is in every document that has its white space, and left out.
+    """
+    cut = items.select("query_id", "item", tokens(F.col("item")).alias("ws")).filter(F.size("ws") > 0)
+    inner = F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = cut.select("query_id", "item", longest.alias("word"), F.get("ws", F.lit(0)).alias("term"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    few = keyed.filter("word IS NULL").select("query_id", "term")
+    parts = words_with(words.select("word").distinct(), few.select("term").distinct()).join(few, "term").select("query_id", "word")
+    met = words.join(keyed.filter("word IS NOT NULL").select("query_id", "word").unionByName(parts).distinct(), "word").select("query_id", "doc_id").distinct()
+    return met.join(docs.select("doc_id", "text"), "doc_id").join(items.select("query_id", "item"), "query_id").filter(F.contains("text", F.col("item"))).select("query_id", "doc_id")
 
 
 def overlap_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
