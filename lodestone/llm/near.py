@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .recurring import mixed, rolling
-from .shared import NO_ID, keep_table, one_row_each, text_id, text_of
+from .shared import NO_ID, keep_table, one_row_each, parts, text_id, text_of
 
 #: Registers, a prime number, so that steps of any length visit each once; bands of registers.
 REGISTERS = 131
@@ -98,15 +98,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
-            for k in range(0, b.num_rows, 128):
-                part = b.slice(k, 128)
-                sets = [shingles(x.as_py()) for x in part[2]]
-                registers = sketch(sets)
-                ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part[0], part[1], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "tid", "n", "set_id", "registers"]
-                )
+        for part in parts(batches, 2):
+            sets = [shingles(x.as_py()) for x in part[2]]
+            registers = sketch(sets)
+            ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part[0], part[1], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "tid", "n", "set_id", "registers"]
+            )
 
     rows = docs.select("doc_id", text_id(docs).alias("tid"), text_of(docs).alias("text"))
     return rows.mapInArrow(read, "doc_id long, tid binary, n long, set_id binary, registers binary").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
@@ -151,7 +149,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose registers do not rule the similarity out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 3, 2048):
             if b.num_rows:
                 grid = lambda c: np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(b.num_rows, REGISTERS)  # noqa: B023, E731
                 size = lambda c: np.array(b[c].to_pylist(), np.float64)  # noqa: B023, E731
@@ -166,7 +164,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets have that similarity, as links (u, v)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 3):
             keep = []
             for s, t in zip(b[2].to_pylist(), b[3].to_pylist(), strict=True):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
@@ -182,11 +180,9 @@ def full_sets(docs: DataFrame, reps: DataFrame, vertices: DataFrame) -> DataFram
     """vertex, n and elements, the sorted hashes of its shingles, of each of ``vertices(vertex)``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 128):
-                part = b.slice(k, 128)
-                sets = [shingles(x.as_py()) for x in part[1]]
-                yield pa.RecordBatch.from_arrays([part[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["vertex", "n", "elements"])
+        for part in parts(batches, 1):
+            sets = [shingles(x.as_py()) for x in part[1]]
+            yield pa.RecordBatch.from_arrays([part[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["vertex", "n", "elements"])
 
     wanted = vertices.distinct().join(reps.select("vertex", "owner", "tid"), "vertex")
     rows = docs.select(text_id(docs).alias("of"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_of(docs).alias("text"))
@@ -203,12 +199,10 @@ def able(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                sets = [np.frombuffer(x, np.int64) for x in part[1].to_pylist()]
-                vertices = np.repeat(np.array(part[0].to_pylist(), np.int64), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.array(np.concatenate(sets))], names=["vertex", "shingle"])
+        for part in parts(batches, 1):
+            sets = [np.frombuffer(x, np.int64) for x in part[1].to_pylist()]
+            vertices = np.repeat(np.array(part[0].to_pylist(), np.int64), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.array(np.concatenate(sets))], names=["vertex", "shingle"])
 
     here = sets.join(opened.select("vertex").distinct(), "vertex")
     once = here.select("vertex", "elements").mapInArrow(read, "vertex long, shingle long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("vertex").alias("vertex")).filter("times = 1")
@@ -269,7 +263,7 @@ def links_across(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     yield members[k][4], w[4]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        rows = (row for b in parts(batches, 8) for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for _, group in groupby(rows, lambda r: r[:3]):
             members, first = [], None
             for row in group:

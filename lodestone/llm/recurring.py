@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, keep_table, per_process, text_id, text_of
+from .shared import NO_ID, keep_table, parts, per_process, text_id, text_of
 
 BASE = 0x9E3779B97F4A7C15
 #: Distinct spans of one anchor that a task holds together; where there are more, their windows are dealt out by more phrases than the anchor.
@@ -98,21 +98,19 @@ def signatures(docs: DataFrame, kind: Windows) -> DataFrame:
     """doc_id, id (null as the largest), tid (names the text), n units, sha256 of the units, and the spans' anchors and places."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 128):
-                part = b.slice(k, 128)
-                n, sha, anchors, firsts, counts = [], [], [], [], []
-                for text in part[2]:
-                    units, hashes = kind.units(text.as_py())
-                    a, f, c = spans(hashes, kind)
-                    n.append(len(units))
-                    sha.append(hashlib.sha256(kind.joined(units)).hexdigest())
-                    anchors.append(a)
-                    firsts.append(f)
-                    counts.append(c)
-                ends = pa.array(np.r_[0, np.cumsum([len(a) for a in anchors])], pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), t)) for x, t in ((anchors, pa.int64()), (firsts, pa.int32()), (counts, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(n, pa.int64()), pa.array(sha), *lists], names=["doc_id", "tid", "n", "sha", "anchor", "first", "count"])
+        for part in parts(batches, 2):
+            n, sha, anchors, firsts, counts = [], [], [], [], []
+            for text in part[2]:
+                units, hashes = kind.units(text.as_py())
+                a, f, c = spans(hashes, kind)
+                n.append(len(units))
+                sha.append(hashlib.sha256(kind.joined(units)).hexdigest())
+                anchors.append(a)
+                firsts.append(f)
+                counts.append(c)
+            ends = pa.array(np.r_[0, np.cumsum([len(a) for a in anchors])], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), t)) for x, t in ((anchors, pa.int64()), (firsts, pa.int32()), (counts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(n, pa.int64()), pa.array(sha), *lists], names=["doc_id", "tid", "n", "sha", "anchor", "first", "count"])
 
     rows = docs.select("doc_id", text_id(docs).alias("tid"), text_of(docs).alias("text"))
     found = rows.mapInArrow(read, "doc_id long, tid binary, n long, sha string, anchor array<long>, first array<int>, count array<int>")

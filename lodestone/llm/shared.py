@@ -72,6 +72,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def parts(batches, column: int, rows: int = 256, size: int = 1 << 20):
+    """Slices of record batches of at most ``rows`` rows and, unless a single row has more, ``size`` bytes in ``column``: what a task turns into objects at once."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        k = 0
+        while k < b.num_rows:
+            upto = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right"))
+            n = max(1, min(rows, upto - k))
+            yield b.slice(k, n)
+            k += n
+
+
 def open_store(uri: str):
     """File system and path of a shared folder, for tasks that write or read whole files."""
     from pyarrow import fs
