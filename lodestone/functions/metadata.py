@@ -8,60 +8,59 @@ from pyspark.sql import functions as F
 from .text import whole
 
 # Key in a file name, work, author, category; the first key found counts.
-WORKS = """
-brndp|Brahmanda Purana|Vyasa|Purana
-mkp|Markandeya Purana|Markandeya|Purana
-skp|Skanda Purana|Vyasa|Purana
-bhp|Bhagavata Purana|Vyasa|Purana
-vp|Vishnu Purana|Parashara|Purana
-ap|Agni Purana|Agni|Purana
-gp|Garuda Purana|Vyasa|Purana
-pp|Padma Purana|Vyasa|Purana
-sp|Shiva Purana|Vyasa|Purana
-mp|Matsya Purana|Vyasa|Purana
-lp|Linga Purana|Vyasa|Purana
-kp|Kurma Purana|Vyasa|Purana
-vamp|Vamana Purana|Vyasa|Purana
-varp|Varaha Purana|Vyasa|Purana
-brvp|Brahmavaivarta Purana|Vyasa|Purana
-bvp|Bhavishya Purana|Vyasa|Purana
-mbh|Mahabharata|Vyasa|Itihasa
-ram|Ramayana|Valmiki|Itihasa
-rv|Rig Veda|Various Rishis|Veda
-av|Atharva Veda|Atharvan|Veda
-yv|Yajur Veda|Various Rishis|Veda
-sv|Sama Veda|Various Rishis|Veda
-athv|Atharvaveda Samhita|Atharvan|Veda
-isha|Isha Upanishad|Unknown|Upanishad
-kena|Kena Upanishad|Unknown|Upanishad
-katha|Katha Upanishad|Unknown|Upanishad
-pras|Prashna Upanishad|Unknown|Upanishad
-mund|Mundaka Upanishad|Unknown|Upanishad
-mand|Mandukya Upanishad|Unknown|Upanishad
-ms|Manusmriti|Manu|Dharmashastra
-ys|Yajnavalkya Smriti|Yajnavalkya|Dharmashastra
-bhg|Bhagavad Gita|Krishna/Vyasa|Philosophy
-devi|Devi Mahatmya|Markandeya|Stotra
-ss|Surya Siddhanta|Unknown|Astronomy
-ch|Charaka Samhita|Charaka|Ayurveda
-su|Sushruta Samhita|Sushruta|Ayurveda
-""".strip()
+WORKS = [
+    ("brndp", "Brahmanda Purana", "Vyasa", "Purana"),
+    ("mkp", "Markandeya Purana", "Markandeya", "Purana"),
+    ("skp", "Skanda Purana", "Vyasa", "Purana"),
+    ("bhp", "Bhagavata Purana", "Vyasa", "Purana"),
+    ("vp", "Vishnu Purana", "Parashara", "Purana"),
+    ("ap", "Agni Purana", "Agni", "Purana"),
+    ("gp", "Garuda Purana", "Vyasa", "Purana"),
+    ("pp", "Padma Purana", "Vyasa", "Purana"),
+    ("sp", "Shiva Purana", "Vyasa", "Purana"),
+    ("mp", "Matsya Purana", "Vyasa", "Purana"),
+    ("lp", "Linga Purana", "Vyasa", "Purana"),
+    ("kp", "Kurma Purana", "Vyasa", "Purana"),
+    ("vamp", "Vamana Purana", "Vyasa", "Purana"),
+    ("varp", "Varaha Purana", "Vyasa", "Purana"),
+    ("brvp", "Brahmavaivarta Purana", "Vyasa", "Purana"),
+    ("bvp", "Bhavishya Purana", "Vyasa", "Purana"),
+    ("mbh", "Mahabharata", "Vyasa", "Itihasa"),
+    ("ram", "Ramayana", "Valmiki", "Itihasa"),
+    ("rv", "Rig Veda", "Various Rishis", "Veda"),
+    ("av", "Atharva Veda", "Atharvan", "Veda"),
+    ("yv", "Yajur Veda", "Various Rishis", "Veda"),
+    ("sv", "Sama Veda", "Various Rishis", "Veda"),
+    ("athv", "Atharvaveda Samhita", "Atharvan", "Veda"),
+    ("isha", "Isha Upanishad", "Unknown", "Upanishad"),
+    ("kena", "Kena Upanishad", "Unknown", "Upanishad"),
+    ("katha", "Katha Upanishad", "Unknown", "Upanishad"),
+    ("pras", "Prashna Upanishad", "Unknown", "Upanishad"),
+    ("mund", "Mundaka Upanishad", "Unknown", "Upanishad"),
+    ("mand", "Mandukya Upanishad", "Unknown", "Upanishad"),
+    ("ms", "Manusmriti", "Manu", "Dharmashastra"),
+    ("ys", "Yajnavalkya Smriti", "Yajnavalkya", "Dharmashastra"),
+    ("bhg", "Bhagavad Gita", "Krishna/Vyasa", "Philosophy"),
+    ("devi", "Devi Mahatmya", "Markandeya", "Stotra"),
+    ("ss", "Surya Siddhanta", "Unknown", "Astronomy"),
+    ("ch", "Charaka Samhita", "Charaka", "Ayurveda"),
+    ("su", "Sushruta Samhita", "Sushruta", "Ayurveda"),
+]
 # Further parts of file names, tried next.
-PATTERNS = """
-athv|Atharvaveda Samhita|Atharvan|Veda
-rkv|Rig Veda Khila|Various Rishis|Veda
-narp|Narada Purana|Narada|Purana
-nsp|Narasimha Purana|Unknown|Purana
-""".strip()
+PATTERNS = [
+    ("rkv", "Rig Veda Khila", "Various Rishis", "Veda"),
+    ("narp", "Narada Purana", "Narada", "Purana"),
+    ("nsp", "Narasimha Purana", "Unknown", "Purana"),
+]
 # Citation marks, as written, tried last.
-CITATIONS = """
-BndP|Brahmanda Purana|Vyasa|Purana
-MarkP|Markandeya Purana|Markandeya|Purana
-SkP|Skanda Purana|Vyasa|Purana
-NarP|Narada Purana|Narada|Purana
-NsP|Narasimha Purana|Unknown|Purana
-RKV|Rig Veda Khila|Various Rishis|Veda
-""".strip()
+CITATIONS = [
+    ("BndP", "Brahmanda Purana", "Vyasa", "Purana"),
+    ("MarkP", "Markandeya Purana", "Markandeya", "Purana"),
+    ("SkP", "Skanda Purana", "Vyasa", "Purana"),
+    ("NarP", "Narada Purana", "Narada", "Purana"),
+    ("NsP", "Narasimha Purana", "Unknown", "Purana"),
+    ("RKV", "Rig Veda Khila", "Various Rishis", "Veda"),
+]
 # Parts of a name that hint at a work, in order, and categories by their short names.
 HINTS = [("purana", "Purana Text"), ("veda", "Vedic Text"), ("upanishad", "Upanishad"), ("gita", "Bhagavad Gita"), ("ramayana", "Ramayana"), ("ram", "Ramayana"), ("mahabharata", "Mahabharata"), ("mbh", "Mahabharata")]
 CATEGORIES = {"1_sanskr": "Sanskrit Text", "purana": "Purana", "veda": "Veda", "upanishad": "Upanishad", "itihasa": "Itihasa", "shastra": "Shastra"}
@@ -69,10 +68,6 @@ PLAIN = "1_sanskr"
 DEFAULT = "Sanskrit Text"
 
 
-def rules(table: str) -> list[tuple[str, ...]]:
-    return [tuple(line.split("|")) for line in table.splitlines()]
-
-
 def category_name(category: Column) -> Column:
     c = whole(category)
     out = F.when((c == "") | (c == PLAIN), DEFAULT)
@@ -92,7 +87,7 @@ def work_of(name: Column, category: Column) -> Column:
     names = ("key", "work", "author", "category")
     listed = lambda rows: F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, r, strict=True)]) for r in rows])
     first = lambda rows, text: F.get(F.filter(listed(rows), lambda r: F.contains(text, r["key"])), F.lit(0))
-    by_name, by_mark = first([*rules(WORKS), *rules(PATTERNS)], short), first(rules(CITATIONS), whole(name))
+    by_name, by_mark = first([*WORKS, *PATTERNS], short), first(CITATIONS, whole(name))
     hint = F.get(F.filter(listed([(p, w, "Unknown", DEFAULT) for p, w in HINTS]), lambda r: F.contains(short, r["key"])), F.lit(0))
     item = lambda w, a, k: F.struct(w.alias("work"), a.alias("author"), k.alias("category"))
     return (

@@ -8,40 +8,122 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens, whole
 
 ETYPES = ["deities", "sages", "places", "concepts", "works"]
-# Entities by type, each with some of its variants; a full lexicon is a table of the same form.
-LEXICON = {
-    "deities": {"viṣṇu": ["hari", "keśava", "govinda", "kṛṣṇa"], "śiva": ["śivāya", "śaṅkara", "rudra"], "devī": ["pārvatī", "lakṣmī", "sarasvatī"], "brahmā": ["pitāmaha"], "gaṇeśa": ["gaṇapati"], "indra": ["śakra"], "agni": ["vahni"], "sūrya": ["āditya"], "hanumān": ["pavana-tanaya"], "rāma": ["rāghava"]},
-    "sages": {"vyāsa": ["vedavyāsa"], "vālmīki": [], "vasiṣṭha": [], "viśvāmitra": [], "nārada": [], "agastya": [], "bharadvāja": [], "atri": [], "aṅgiras": [], "gautama": [], "jamadagni": [], "kaśyapa": [], "bhṛgu": [], "patañjali": [], "kālidāsa": [], "śaṅkara": ["śaṅkarācārya"]},
-    "places": {"ayodhyā": [], "kāśī": [], "mathurā": [], "vṛndāvana": [], "dvārakā": [], "hastināpura": [], "laṅkā": [], "kurukṣetra": [], "prayāga": [], "gayā": [], "himālaya": [], "gaṅgā": [], "yamunā": [], "narmadā": [], "godāvarī": []},
-    "concepts": {"dharma": [], "karma": [], "bhakti": [], "jñāna": [], "yoga": [], "mokṣa": [], "saṃsāra": [], "brahman": [], "ātman": [], "māyā": [], "śānti": [], "ahiṃsā": [], "satya": [], "tapas": [], "vairāgya": []},
-    "works": {"mahābhārata": [], "rāmāyaṇa": [], "bhagavadgītā": ["gītā"], "bhāgavata": [], "yogasūtra": [], "vedānta": [], "manusmṛti": [], "arthaśāstra": [], "kāmasūtra": [], "upaniṣad": []},
+# Canonical names and their variants, in order, a table for each type.
+DEITIES = {
+    "viṣṇu": ["viṣṇu", "viṣṇo", "viṣṇave", "viṣṇor", "hari", "hare", "nārāyaṇa", "keśava", "mādhava", "govinda", "dāmodara", "madhusūdana", "vāsudeva", "kṛṣṇa", "kṛṣṇasya", "murāri", "janārdana"],
+    "śiva": ["śiva", "śivasya", "śivāya", "maheśvara", "maheśa", "śaṅkara", "rudra", "īśa", "īśvara", "hara", "bhava", "śambhu", "mahādeva", "tryambaka", "nīlakaṇṭha"],
+    "devī": ["devī", "devyā", "ambā", "umā", "pārvatī", "śakti", "bhagavatī", "durgā", "kālī", "lakṣmī", "sarasvatī", "gaurī", "caṇḍī"],
+    "brahmā": ["brahmā", "brahmaṇaḥ", "pitāmaha", "svayambhū", "prajāpati", "virañci", "caturmukha", "kamalāsana"],
+    "gaṇeśa": ["gaṇeśa", "gaṇapati", "vināyaka", "vighnēśvara", "lambodara", "gajavadana", "heraṃba"],
+    "indra": ["indra", "indrasya", "śakra", "vāsava", "purandara", "devarāja", "maghavan", "sahasrākṣa"],
+    "agni": ["agni", "agneḥ", "agnaye", "vahni", "anala", "hutāśana", "pāvaka"],
+    "sūrya": ["sūrya", "sūryasya", "āditya", "bhāskara", "ravi", "savitṛ", "arka", "mihira", "bhānu"],
+    "hanumān": ["hanumān", "hanūmān", "hanumataḥ", "añjaneya", "mārutātmaja", "vāyuputra", "pavana-tanaya"],
+    "rāma": ["rāma", "rāmasya", "rāghava", "raghunātha", "dāśarathi", "kausalyeya", "sītāpati", "raghūttama"],
+}
+SAGES = {
+    "vyāsa": ["vyāsa", "vyāsaḥ", "vedavyāsa", "bādarāyaṇa", "kṛṣṇadvaipāyana"],
+    "vālmīki": ["vālmīki", "vālmīkeḥ", "ādikavi", "pracetasaḥ"],
+    "vasiṣṭha": ["vasiṣṭha", "vasiṣṭhasya", "brahmarṣi"],
+    "viśvāmitra": ["viśvāmitra", "viśvāmitrasya", "kauśika", "gādheya"],
+    "nārada": ["nārada", "nāradasya", "devarṣi", "nāradamuni"],
+    "agastya": ["agastya", "agastyasya", "agastimuni", "kumbhayoni"],
+    "bharadvāja": ["bharadvāja", "bharadvājasya"],
+    "atri": ["atri", "atreḥ", "atraye"],
+    "aṅgiras": ["aṅgiras", "aṅgirasaḥ", "aṅgirā"],
+    "gautama": ["gautama", "gautamasya", "gotama"],
+    "jamadagni": ["jamadagni", "jamadagneḥ"],
+    "kaśyapa": ["kaśyapa", "kaśyapasya"],
+    "bhṛgu": ["bhṛgu", "bhṛgoḥ", "bhārgava"],
+    "patañjali": ["patañjali", "patañjaleḥ", "yogasūtrakāra"],
+    "kālidāsa": ["kālidāsa", "kālidāsasya", "kavikulaguru"],
+    "śaṅkara": ["śaṅkara", "śaṅkarācārya", "ādiśaṅkara", "bhagavatpāda"],
+}
+PLACES = {
+    "ayodhyā": ["ayodhyā", "ayodhyāyāṃ", "sāketa"],
+    "kāśī": ["kāśī", "kāśyāṃ", "vārāṇasī", "benares"],
+    "mathurā": ["mathurā", "mathurāyāṃ", "brajabhūmi"],
+    "vṛndāvana": ["vṛndāvana", "vṛndāvane", "vraja", "gokula"],
+    "dvārakā": ["dvārakā", "dvārakāyāṃ", "dvāravatī"],
+    "hastināpura": ["hastināpura", "hastināpure", "gajasāhvaya"],
+    "laṅkā": ["laṅkā", "laṅkāyāṃ", "siṃhala"],
+    "kurukṣetra": ["kurukṣetra", "kurukṣetre", "dharmakṣetra"],
+    "prayāga": ["prayāga", "prayāge", "triveṇī", "allahabad"],
+    "gayā": ["gayā", "gayāyāṃ", "bodhagayā"],
+    "himālaya": ["himālaya", "himavat", "himācala", "himādri"],
+    "gaṅgā": ["gaṅgā", "gaṅgāyāṃ", "bhāgīrathī", "jāhnavī"],
+    "yamunā": ["yamunā", "yamunāyāṃ", "kālindī"],
+    "narmadā": ["narmadā", "narmadāyāṃ", "revā"],
+    "godāvarī": ["godāvarī", "godāvaryāṃ", "gautamī"],
+}
+CONCEPT_WORDS = {
+    "dharma": ["dharma", "dharmasya", "dharmāya", "dharmāṇi"],
+    "karma": ["karma", "karmaṇā", "karmaṇi", "karmaphala"],
+    "bhakti": ["bhakti", "bhaktyā", "bhaktimān"],
+    "jñāna": ["jñāna", "jñānena", "jñānī"],
+    "yoga": ["yoga", "yogena", "yogī", "yogin"],
+    "mokṣa": ["mokṣa", "mokṣāya", "mukti", "nirvāṇa", "kaivalya"],
+    "saṃsāra": ["saṃsāra", "saṃsāre", "bhavacakra"],
+    "brahman": ["brahman", "brahmaṇi", "parabrahma"],
+    "ātman": ["ātman", "ātmani", "ātmā"],
+    "māyā": ["māyā", "māyayā", "māyāvī"],
+    "śānti": ["śānti", "śāntyai", "śāntimān"],
+    "ahiṃsā": ["ahiṃsā", "ahiṃsayā"],
+    "satya": ["satya", "satyena", "satyavādin"],
+    "tapas": ["tapas", "tapasā", "tapasvī"],
+    "vairāgya": ["vairāgya", "vairāgyeṇa", "virāga"],
+}
+WORK_NAMES = {
+    "mahābhārata": ["mahābhārata", "mahābhārate", "bhārata"],
+    "rāmāyaṇa": ["rāmāyaṇa", "rāmāyaṇe", "ādikāvya"],
+    "bhagavadgītā": ["bhagavadgītā", "gītā", "gītāyāṃ"],
+    "bhāgavata": ["bhāgavata", "bhāgavate", "śrīmadbhāgavata"],
+    "yogasūtra": ["yogasūtra", "pātañjalayogasūtra"],
+    "vedānta": ["vedānta", "vedāntasūtra", "brahmasūtra"],
+    "manusmṛti": ["manusmṛti", "manusmṛtau", "mānavadharmaśāstra"],
+    "arthaśāstra": ["arthaśāstra", "kauṭilīya"],
+    "kāmasūtra": ["kāmasūtra", "vātsyāyana"],
+    "upaniṣad": ["upaniṣad", "upaniṣat", "vedāntavākya"],
+}
+LEXICON = dict(zip(ETYPES, (DEITIES, SAGES, PLACES, CONCEPT_WORDS, WORK_NAMES), strict=True))
+# Works with their titles and authors.
+TITLES = {
+    "mahābhārata": ("Mahābhārata", "vyāsa"),
+    "rāmāyaṇa": ("Rāmāyaṇa", "vālmīki"),
+    "bhagavadgītā": ("Bhagavadgītā", "vyāsa"),
+    "bhāgavata": ("Śrīmad Bhāgavata Purāṇa", "vyāsa"),
+    "yogasūtra": ("Yoga Sūtra", "patañjali"),
+    "manusmṛti": ("Manusmṛti", "manu"),
+    "meghadūta": ("Meghadūta", "kālidāsa"),
+    "kumārasambhava": ("Kumārasambhava", "kālidāsa"),
+    "raghuvaṃśa": ("Raghuvaṃśa", "kālidāsa"),
 }
 # Relations between entities, in order, and the names of the way back.
-RELATIONS = """
-kṛṣṇa avatar_of viṣṇu
-rāma avatar_of viṣṇu
-hanumān devotee_of rāma
-arjuna disciple_of kṛṣṇa
-pārvatī consort_of śiva
-sītā consort_of rāma
-rādhā beloved_of kṛṣṇa
-lakṣmī consort_of viṣṇu
-sarasvatī consort_of brahmā
-arjuna student_of droṇa
-rāma student_of vasiṣṭha
-kṛṣṇa student_of sāndīpani
-kṛṣṇa born_in mathurā
-kṛṣṇa lived_in vṛndāvana
-kṛṣṇa ruled dvārakā
-rāma born_in ayodhyā
-rāma ruled ayodhyā
-vyāsa author_of mahābhārata
-vyāsa author_of bhāgavata
-vālmīki author_of rāmāyaṇa
-kālidāsa author_of meghadūta
-kālidāsa author_of kumārasambhava
-patañjali author_of yogasūtra
-""".strip()
+RELATIONS = [
+    ("kṛṣṇa", "avatar_of", "viṣṇu"),
+    ("rāma", "avatar_of", "viṣṇu"),
+    ("hanumān", "devotee_of", "rāma"),
+    ("arjuna", "disciple_of", "kṛṣṇa"),
+    ("pārvatī", "consort_of", "śiva"),
+    ("sītā", "consort_of", "rāma"),
+    ("rādhā", "beloved_of", "kṛṣṇa"),
+    ("lakṣmī", "consort_of", "viṣṇu"),
+    ("sarasvatī", "consort_of", "brahmā"),
+    ("arjuna", "student_of", "droṇa"),
+    ("rāma", "student_of", "vasiṣṭha"),
+    ("kṛṣṇa", "student_of", "sāndīpani"),
+    ("kṛṣṇa", "born_in", "mathurā"),
+    ("kṛṣṇa", "lived_in", "vṛndāvana"),
+    ("kṛṣṇa", "ruled", "dvārakā"),
+    ("rāma", "born_in", "ayodhyā"),
+    ("rāma", "ruled", "ayodhyā"),
+    ("vyāsa", "author_of", "mahābhārata"),
+    ("vyāsa", "author_of", "bhāgavata"),
+    ("vālmīki", "author_of", "rāmāyaṇa"),
+    ("kālidāsa", "author_of", "meghadūta"),
+    ("kālidāsa", "author_of", "kumārasambhava"),
+    ("patañjali", "author_of", "yogasūtra"),
+]
 INVERSE = {"avatar_of": "has_avatar", "devotee_of": "has_devotee", "disciple_of": "has_disciple", "consort_of": "consort_of", "beloved_of": "beloved_of", "student_of": "teacher_of", "born_in": "birthplace_of", "lived_in": "residence_of", "ruled": "ruled_by", "author_of": "authored_by"}
 REPLACING, ADDING = ["avatar_of", "has_avatar", "also_known_as"], ["consort_of", "devotee_of", "student_of"]
 # Concepts below a concept.
@@ -55,8 +137,8 @@ CONCEPTS = {
 }
 # Entities of a work.
 ENTITY_WORKS = {
-    "mahābhārata": "kṛṣṇa arjuna bhīma yudhiṣṭhira nakula sahadeva draupadī karṇa duryodhana bhīṣma droṇa vyāsa",
-    "rāmāyaṇa": "rāma sītā lakṣmaṇa hanumān rāvaṇa bharata daśaratha kauśalyā sugrīva vālī vibhīṣaṇa",
+    "mahābhārata": ["kṛṣṇa", "arjuna", "bhīma", "yudhiṣṭhira", "nakula", "sahadeva", "draupadī", "karṇa", "duryodhana", "bhīṣma", "droṇa", "vyāsa"],
+    "rāmāyaṇa": ["rāma", "sītā", "lakṣmaṇa", "hanumān", "rāvaṇa", "bharata", "daśaratha", "kauśalyā", "sugrīva", "vālī", "vibhīṣaṇa"],
 }
 KG_WEIGHTS = {"deities_overlap": 2.0, "sages_overlap": 1.5, "works_overlap": 2.5, "concepts_overlap": 1.0, "places_overlap": 1.0, "related_entity_ratio": 1.5, "work_overlap_ratio": 2.0, "entity_cooccurrence_works": 1.5, "connected_pairs": 1.0}
 DEPTH, FAR = 3, 10.0
@@ -68,9 +150,8 @@ def lexicon(spark: SparkSession, table: dict[str, dict[str, list[str]]] = LEXICO
     return spark.createDataFrame(rows, "etype string, canon_ord int, canonical string, variant string")
 
 
-def relations(spark: SparkSession, table: str = RELATIONS) -> DataFrame:
-    rows = [(k, *line.split()) for k, line in enumerate(table.splitlines())]
-    return spark.createDataFrame(rows, "edge_ord int, src string, rel string, dst string")
+def relations(spark: SparkSession, table: list[tuple[str, str, str]] = RELATIONS) -> DataFrame:
+    return spark.createDataFrame([(k, *row) for k, row in enumerate(table)], "edge_ord int, src string, rel string, dst string")
 
 
 def lexicon_of_corpus(docs: DataFrame, per_type: int = 8, least: int = 5) -> DataFrame:
@@ -143,22 +224,89 @@ def common_works(entity_works: DataFrame, wanted: DataFrame) -> DataFrame:
     return has.join(need, "group_id").filter("has = need").select("group_id", "work")
 
 
+def works_of(spark: SparkSession, table: dict[str, list[str]] = ENTITY_WORKS) -> DataFrame:
+    """entity, work."""
+    return spark.createDataFrame([(e, w) for w, es in table.items() for e in es], "entity string, work string")
+
+
+def titles_of(spark: SparkSession, table: dict[str, tuple[str, str]] = TITLES) -> DataFrame:
+    """work, title, author."""
+    return spark.createDataFrame([(w, *about) for w, about in table.items()], "work string, title string, author string")
+
+
+def concepts_of(spark: SparkSession, table: dict[str, list[str]] = CONCEPTS) -> DataFrame:
+    """parent, child."""
+    return spark.createDataFrame([(p, c) for p, cs in table.items() for c in cs], "parent string, child string")
+
+
+def entity_context(of: DataFrame, edges: DataFrame, entity_works: DataFrame, titles: DataFrame, concepts: DataFrame) -> DataFrame:
+    """A report for each of ``of(entity)``: its relations in their order, its works, what is known of these, and the concepts below it; empty lists where there is nothing."""
+    one = lambda df, column, name: df.groupBy("entity").agg(F.array_sort(F.collect_list(column)).alias(name))
+    wanted = of.select("entity").distinct()
+    relations_in_order = one(neighbours(edges, wanted), F.struct("ord", "rel", "neighbour"), "relations")
+    works = entity_works.select("entity", "work").distinct().join(wanted, "entity", "left_semi")
+    details = works.join(titles, "work").select("entity", F.struct("work", "title", "author").alias("d"))
+    below = concepts.select(F.col("parent").alias("entity"), "child")
+    out = wanted
+    for part in (relations_in_order, one(works, F.col("work"), "works"), one(details, F.col("d"), "work_details"), one(below, F.col("child"), "related_concepts")):
+        out = out.join(part, "entity", "left")
+    kinds = {"relations": "array<struct<ord:int,rel:string,neighbour:string>>", "works": "array<string>", "work_details": "array<struct<work:string,title:string,author:string>>", "related_concepts": "array<string>"}
+    return out.select("entity", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in kinds.items()])
+
+
+def save_graph(folder: str, **tables: DataFrame) -> None:
+    """Write the tables of a graph, such as names, edges and works, each as JSON lines in a folder of its own."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
+
+
+def load_graph(spark: SparkSession, folder: str, **schemas: str) -> dict[str, DataFrame]:
+    """The tables that ``save_graph`` wrote, by name, each with the schema that is given for it."""
+    return {name: spark.read.schema(schema).json(f"{folder}/{name}") for name, schema in schemas.items()}
+
+
 # Entities
 
 
-def word_list(text: Column) -> Column:
-    """Runs of letters, digits and underscores of the lower text."""
-    return F.regexp_extract_all(F.lower(whole(text)), F.lit(r"([\p{L}\p{N}\p{M}_]+)"), F.lit(1))
+WORD, GAP = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 
 
-def mentions(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, etype, canonical, matched, at for every word of a text that is a variant; the first canonical name that has it counts.
+def mentions(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", most_words: int = 2) -> DataFrame:
+    """key, etype, canonical, matched, at for every variant in a text, letters' case aside; the first canonical name that has it counts.
 
-    Words meet the lexicon in a join, so a lexicon may have any size; ``at`` is the word's number.
+    Words, and runs of up to ``most_words`` words with what stands between them, meet the lexicon in a join, so a lexicon may have any size; ``at`` is the
+    number of the first word.  Of variants of a type that overlap, the one that starts first counts, then the longest.
     """
-    words = docs.select(key, F.posexplode(word_list(F.col(text))).alias("at", "matched"))
-    first = names.groupBy("etype", "variant").agg(F.min_by("canonical", "canon_ord").alias("canonical"))
-    return words.join(first, F.col("matched") == F.col("variant")).select(key, "etype", "canonical", "matched", "at")
+    pieces = F.regexp_extract_all(whole(F.col(text)), F.lit(f"({WORD}|{GAP})"), F.lit(1))
+    cut = docs.select(key, pieces.alias("pieces")).filter(F.size("pieces") > 0).withColumn("lead", F.when(F.get("pieces", F.lit(0)).rlike(f"^{WORD}"), 0).otherwise(1))
+    cut = cut.withColumn("n", F.floor((F.size("pieces") - F.col("lead") + 1) / 2).cast("int"))
+    none = F.array().cast("array<struct<at:int,words:int,matched:string>>")
+
+    def run(k: int) -> Column:
+        one = lambda i: F.struct(i.alias("at"), F.lit(k).alias("words"), F.lower(F.array_join(F.slice("pieces", 2 * i + F.col("lead") + 1, 2 * k - 1), "")).alias("matched"))
+        return F.coalesce(F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(0), F.col("n") - k), one)), none)
+
+    words = cut.select(key, F.explode(F.concat(*[run(k) for k in range(1, most_words + 1)])).alias("w")).select(key, "w.at", "w.words", "w.matched")
+    first = names.groupBy("etype", F.lower("variant").alias("variant")).agg(F.min_by("canonical", "canon_ord").alias("canonical"))
+    found = words.join(first, F.col("matched") == F.col("variant")).select(key, "etype", "canonical", "matched", "at", "words")
+    # In order of place, the longest first; one that starts inside the one taken before goes.
+    of_type = found.groupBy(key, "etype").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("words")).alias("less"), "words", "canonical", "matched"))).alias("all"))
+    kind = "struct<next:int,taken:array<struct<at:int,less:int,words:int,canonical:string,matched:string>>>"
+    begin = F.struct(F.lit(0).alias("next"), F.array().alias("taken")).cast(kind)
+    step = lambda acc, m: F.when(m["at"] >= acc["next"], F.struct((m["at"] + m["words"]).alias("next"), F.concat(acc["taken"], F.array(m)).alias("taken")).cast(kind)).otherwise(acc)
+    alone = F.forall("all", lambda m: m["words"] == 1)
+    taken = F.when(alone, F.col("all")).otherwise(F.aggregate("all", begin, step)["taken"])
+    return of_type.select(key, "etype", F.explode(taken).alias("m")).select(key, "etype", "m.canonical", "m.matched", "m.at")
+
+
+def with_offsets(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Mentions with start and end, in characters of the text; only texts with a mention are cut again."""
+    places = found.groupBy(key).agg(F.collect_list(F.struct("etype", "canonical", "matched", "at")).alias("ms"))
+    pieces = F.regexp_extract_all(whole(F.col(text)), F.lit(f"({WORD}|{GAP})"), F.lit(1))
+    cut = places.join(docs.select(key, pieces.alias("pieces")), key).withColumn("lead", F.when(F.get("pieces", F.lit(0)).rlike(f"^{WORD}"), 0).otherwise(1))
+    each = cut.select(key, "lead", "pieces", F.explode("ms").alias("m"))
+    start = F.length(F.array_join(F.slice("pieces", F.lit(1), 2 * F.col("m.at") + F.col("lead")), ""))
+    return each.select(key, "m.etype", "m.canonical", "m.matched", "m.at", start.alias("start"), (start + F.length("m.matched")).alias("end"))
 
 
 def entity_features(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,14 +320,23 @@ def entity_features(docs: DataFrame, names: DataFrame, key: str = "doc_id", text
     return sized.select(key, *[f"{t}_count" for t in ETYPES], "total", *[f"unique_{t}" for t in ETYPES], *density)
 
 
-def expand_by_graph(queries: DataFrame, names: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
-    """query_id, variant: the query, and for the first ``most`` neighbours of each entity in it, its name in the entity's place or after the query."""
-    found = mentions(queries, names, "query_id", "query").select("query_id", F.col("canonical").alias("entity"), "matched").distinct()
+def expand_by_graph(queries: DataFrame, names: DataFrame, edges: DataFrame, entity_works: DataFrame | None = None, titles: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """query_id, variant: the query, and for the first ``most`` neighbours of each entity in it, its name in the entity's place or after the query.
+
+    With ``entity_works(entity, work)`` and ``titles(work, title)``, also the query with the title of the first ``most`` works that have all its deities and sages.
+    """
+    seen = mentions(queries, names, "query_id", "query")
+    found = seen.select("query_id", F.col("canonical").alias("entity"), "matched").distinct()
     near = neighbours(edges, found.select("entity").distinct()).filter(F.col("ord") <= most)
     rows = found.join(near, "entity").join(queries, "query_id")
     low = F.lower("query")
     variant = F.when(F.col("rel").isin(REPLACING), F.replace(low, F.col("matched"), F.col("neighbour"))).when(F.col("rel").isin(ADDING), F.concat_ws(" ", low, "neighbour"))
-    return queries.select("query_id", F.col("query").alias("variant")).unionByName(rows.select("query_id", variant.alias("variant")).filter("variant IS NOT NULL")).distinct()
+    out = queries.select("query_id", F.col("query").alias("variant")).unionByName(rows.select("query_id", variant.alias("variant")).filter("variant IS NOT NULL"))
+    if entity_works is not None and titles is not None:
+        common = common_works(entity_works, seen.filter(F.col("etype").isin("deities", "sages")).select(F.col("query_id").alias("group_id"), F.col("canonical").alias("entity")))
+        named = common.withColumn("k", F.row_number().over(Window.partitionBy("group_id").orderBy("work"))).filter(F.col("k") <= most).join(titles.select("work", "title"), "work")
+        out = out.unionByName(named.join(queries, F.col("group_id") == F.col("query_id")).select("query_id", F.concat_ws(" ", low, "title").alias("variant")))
+    return out.distinct()
 
 
 def entity_sets(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:

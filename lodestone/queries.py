@@ -164,8 +164,8 @@ def metadata_sql() -> str:
     def column(i: int) -> str:
         value = lambda r: f"CASE WHEN {own} THEN {named} ELSE '{r[3]}' END" if i == 3 else f"'{r[i]}'"
         out = "CASE WHEN name = '' THEN " + ("CASE WHEN cat <> '' THEN cat ELSE 'Unknown' END" if i == 3 else "'Unknown'")
-        out += "".join(f" WHEN contains(short, '{r[0]}') THEN {value(r)}" for r in [*metadata.rules(metadata.WORKS), *metadata.rules(metadata.PATTERNS)])
-        out += "".join(f" WHEN contains(name, '{r[0]}') THEN '{r[i]}'" for r in metadata.rules(metadata.CITATIONS))
+        out += "".join(f" WHEN contains(short, '{r[0]}') THEN {value(r)}" for r in [*metadata.WORKS, *metadata.PATTERNS])
+        out += "".join(f" WHEN contains(name, '{r[0]}') THEN '{r[i]}'" for r in metadata.CITATIONS)
         rest = {1: "CASE " + " ".join(f"WHEN contains(short, '{p}') THEN '{w}'" for p, w in metadata.HINTS) + " ELSE 'Sanskrit Text' END", 2: "'Unknown'", 3: f"CASE WHEN cat <> '' THEN {named} ELSE 'Sanskrit Text' END"}[i]
         return out + f" ELSE {rest} END"
 
@@ -410,14 +410,17 @@ def llm_first_order(spark, sf_dir):
 
 
 def graph_of(spark, sf_dir):
-    # Eighty rows at most, by the rule that makes them.
-    found = graph.lexicon_of_corpus(docs_of(spark, sf_dir))
-    names = spark.createDataFrame(found.collect(), found.schema)
+    # Eighty rows at most, by the rule that makes them; kept, as every part of a query meets them.
+    names = graph.lexicon_of_corpus(docs_of(spark, sf_dir)).persist()
     edges = graph.with_inverse(graph.relations_of_lexicon(names))
     works = names.select(F.col("canonical").alias("entity"), F.concat(F.lit("w"), (F.col("canon_ord") % 3).cast("string")).alias("work")).distinct()
     return names, edges, works
 
 
+def titles_made(works):
+    return works.select("work").distinct().select("work", F.concat(F.lit("title of "), "work").alias("title"), F.lit("someone").alias("author"))
+
+
 def values_sql(rows: list[str], chosen: str) -> str:
     return f"list_extract([{', '.join(f"'{r}'" for r in rows)}], CAST({chosen} AS BIGINT))"
 
@@ -434,14 +437,16 @@ LEXICON_CTE = f"""lw AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_disti
 
 
 def mention_sql(name: str, source: str, key: str, column: str) -> str:
-    return rf"""{name}w AS (SELECT {key}, regexp_extract_all(lower(coalesce({column}, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+') AS ws FROM {source}), {name}e AS (SELECT {key}, unnest(ws) AS matched, generate_subscripts(ws, 1) - 1 AS place FROM {name}w),
-    {name} AS (SELECT {key}, etype, canonical, matched, place FROM {name}e JOIN lv ON matched = variant)"""
+    return rf"""{name}w AS (SELECT {key}, regexp_extract_all(coalesce({column}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS ws FROM {source}), {name}e AS (SELECT {key}, unnest(ws) AS piece, generate_subscripts(ws, 1) - 1 AS k, regexp_matches(ws[1], '^[\p{{L}}\p{{N}}_]') AS lead FROM {name}w),
+    {name}p AS (SELECT {key}, lower(piece) AS matched, (k - CASE WHEN lead THEN 0 ELSE 1 END) // 2 AS place, coalesce(sum(length(piece)) OVER (PARTITION BY {key} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts FROM {name}e),
+    {name} AS (SELECT {key}, etype, canonical, matched, place, starts FROM {name}p JOIN lv ON matched = variant)"""
 
 
-@registered(f"""WITH {LEXICON_CTE}, {mention_sql('m', 'documents', 'doc_id', 'text')} SELECT doc_id, etype, canonical, matched, CAST(place AS INT) AS "at" FROM m""")
+@registered(f"""WITH {LEXICON_CTE}, {mention_sql('m', 'documents', 'doc_id', 'text')} SELECT doc_id, etype, canonical, matched, CAST(place AS INT) AS "at", CAST(starts AS INT) AS "start", CAST(starts + length(matched) AS INT) AS "end" FROM m""")
 def entity_mentions(spark, sf_dir):
     names, _, _ = graph_of(spark, sf_dir)
-    return graph.mentions(docs_of(spark, sf_dir), names)
+    docs = docs_of(spark, sf_dir)
+    return graph.with_offsets(graph.mentions(docs, names, most_words=1), docs)
 
 
 @registered(f"""WITH {LEXICON_CTE}, {mention_sql('m', 'documents', 'doc_id', 'text')}, c AS (SELECT doc_id, {', '.join(f"count(*) FILTER (etype = '{t}') AS {t}_count" for t in graph.ETYPES)}, count(*) AS total, {', '.join(f"count(DISTINCT canonical) FILTER (etype = '{t}') AS unique_{t}" for t in graph.ETYPES)} FROM m GROUP BY doc_id),
@@ -486,11 +491,23 @@ def kg_common_works(spark, sf_dir):
 
 @registered(f"""WITH {LEXICON_CTE}, {QUOTES}, {mention_sql('m', 'qs', 'query_id', 'query')}, f AS (SELECT DISTINCT query_id, canonical AS entity, matched FROM m),
     nb AS (SELECT * FROM (SELECT src AS entity, rel, dst, row_number() OVER (PARTITION BY src ORDER BY edge_ord, dst, rel) AS ord FROM edges) WHERE ord <= 5),
-    v AS (SELECT query_id, CASE WHEN rel IN ('avatar_of', 'has_avatar', 'also_known_as') THEN replace(lower(query), matched, dst) WHEN rel IN ('consort_of', 'devotee_of', 'student_of') THEN lower(query) || ' ' || dst END AS variant FROM f JOIN nb USING (entity) JOIN qs USING (query_id))
-    SELECT DISTINCT query_id, variant FROM (SELECT query_id, query AS variant FROM qs UNION ALL SELECT * FROM v WHERE variant IS NOT NULL)""")
+    v AS (SELECT query_id, CASE WHEN rel IN ('avatar_of', 'has_avatar', 'also_known_as') THEN replace(lower(query), matched, dst) WHEN rel IN ('consort_of', 'devotee_of', 'student_of') THEN lower(query) || ' ' || dst END AS variant FROM f JOIN nb USING (entity) JOIN qs USING (query_id)),
+    t AS (SELECT DISTINCT query_id, canonical AS entity FROM m WHERE etype IN ('deities', 'sages')), tn AS (SELECT query_id, count(*) AS need FROM t GROUP BY query_id),
+    tw AS (SELECT query_id, work, row_number() OVER (PARTITION BY query_id ORDER BY work) AS k FROM (SELECT query_id, work, count(*) AS has FROM t JOIN works USING (entity) GROUP BY query_id, work) JOIN tn USING (query_id) WHERE has = need)
+    SELECT DISTINCT query_id, variant FROM (SELECT query_id, query AS variant FROM qs UNION ALL SELECT * FROM v WHERE variant IS NOT NULL UNION ALL SELECT query_id, lower(query) || ' title of ' || work FROM tw JOIN qs USING (query_id) WHERE k <= 5)""")
 def kg_query_expand(spark, sf_dir):
-    names, edges, _ = graph_of(spark, sf_dir)
-    return graph.expand_by_graph(quotes_of(spark, sf_dir), names, edges)
+    names, edges, works = graph_of(spark, sf_dir)
+    return graph.expand_by_graph(quotes_of(spark, sf_dir), names, edges, works, titles_made(works))
+
+
+@registered(f"""WITH {LEXICON_CTE}, e AS (SELECT DISTINCT canonical AS entity FROM lex), r AS (SELECT src AS entity, string_agg(ord || ' ' || rel || ' ' || dst, '; ' ORDER BY ord) AS relations FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY edge_ord, dst, rel) AS ord FROM edges) GROUP BY src),
+    w AS (SELECT entity, string_agg(work, '; ' ORDER BY work) AS works, string_agg(work || ' title of ' || work || ' someone', '; ' ORDER BY work) AS work_details FROM works GROUP BY entity)
+    SELECT entity, coalesce(relations, '') AS relations, coalesce(works, '') AS works, coalesce(work_details, '') AS work_details, '' AS related_concepts FROM e LEFT JOIN r USING (entity) LEFT JOIN w USING (entity)""")
+def kg_context(spark, sf_dir):
+    names, edges, works = graph_of(spark, sf_dir)
+    found = graph.entity_context(names.select(F.col("canonical").alias("entity")), edges, works, titles_made(works), graph.concepts_of(spark))
+    line = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[p].cast("string") for p in parts])), "; ").alias(c)
+    return found.select("entity", line("relations", "ord", "rel", "neighbour"), F.array_join("works", "; ").alias("works"), line("work_details", "work", "title", "author"), F.array_join("related_concepts", "; ").alias("related_concepts"))
 
 
 def pair_hits(spark, sf_dir):

@@ -20,7 +20,7 @@ def one(spark, column, value):
 
 def test_graph_score(spark):
     names, edges = graph.lexicon(spark), graph.with_inverse(graph.relations(spark))
-    works = spark.createDataFrame([(e, w) for w, es in graph.ENTITY_WORKS.items() for e in es.split()], "entity string, work string")
+    works = graph.works_of(spark)
     queries = spark.createDataFrame([(1, "kṛṣṇa arjuna")], "query_id long, query string")
     docs = spark.createDataFrame([(1, "kṛṣṇa uvāca pārtha"), (2, "dharmo rakṣati rakṣitaḥ"), (3, "rāmo rājavaraḥ")], "doc_id long, text string")
     hits = spark.createDataFrame([(1, 1, 0.75), (1, 2, 0.8), (1, 3, 0.7)], "query_id long, doc_id long, score double")
@@ -129,3 +129,43 @@ def test_nulls_and_empty_tables(spark):
     assert search.gram_search(c, queries, 5).count() == 1
     assert search.window_index(c).count() == 1
     assert search.bm25(c.limit(0), queries, 5).count() == 0
+
+
+def test_lexicon_and_mentions(spark):
+    import re
+
+    names = graph.lexicon(spark)
+    assert [len({v for vs in t.values() for v in vs}) for t in graph.LEXICON.values()] == [99, 52, 50, 49, 27]
+    texts = ["Śaṅkara uvāca: pavana-tanaya, rāmasya bhaktaḥ!", "kṛṣṇa-kṛṣṇa VEDAVYĀSAḤ vyāsaḥ", "rāma_x xrāma rāma", "", None, "  ādikāvye rāmāyaṇe — mukti, dharmakṣetre kurukṣetre"]
+    expected = set()
+    for k, t in enumerate(texts):
+        for etype, table in graph.LEXICON.items():
+            variants = sorted({v for vs in table.values() for v in vs}, key=len, reverse=True)
+            for m in re.finditer(r"\b(" + "|".join(map(re.escape, variants)) + r")\b", t or "", re.IGNORECASE):
+                canonical = next(c for c, vs in table.items() if m.group().lower() in vs)
+                expected.add((k, etype, canonical, m.group().lower(), m.start(), m.end()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = graph.mentions(docs, names)
+    assert {(r.doc_id, r.etype, r.canonical, r.matched, r.start, r.end) for r in graph.with_offsets(found, docs).collect()} == expected
+
+
+def test_overlapping_variants(spark):
+    names = spark.createDataFrame([("works", 0, "ab", "a b"), ("works", 1, "bc", "b c"), ("works", 2, "c", "c"), ("works", 3, "a", "a"), ("sages", 0, "b", "b")], "etype string, canon_ord int, canonical string, variant string")
+    docs = spark.createDataFrame([(1, "a b c, b c a")], "doc_id long, text string")
+    got = sorted((r.etype, r.canonical, r["at"]) for r in graph.mentions(docs, names).collect())
+    assert got == [("sages", "b", 1), ("sages", "b", 3), ("works", "a", 5), ("works", "ab", 0), ("works", "bc", 3), ("works", "c", 2)]
+
+
+def test_graph_round_trip(spark, tmp_path):
+    edges, works, titles = graph.with_inverse(graph.relations(spark)), graph.works_of(spark), graph.titles_of(spark)
+    graph.save_graph(str(tmp_path), edges=edges, works=works, titles=titles)
+    back = graph.load_graph(spark, str(tmp_path), edges="src string, rel string, dst string, edge_ord int", works="entity string, work string", titles="work string, title string, author string")
+    for name, df in {"edges": edges, "works": works, "titles": titles}.items():
+        assert sorted(back[name].collect()) == sorted(df.select(*back[name].columns).collect())
+    report = {r.entity: r for r in graph.entity_context(spark.createDataFrame([("rāma",), ("yoga",), ("nobody",)], "entity string"), back["edges"], back["works"], back["titles"], graph.concepts_of(spark)).collect()}
+    assert [(x.rel, x.neighbour) for x in report["rāma"].relations][:2] == [("avatar_of", "viṣṇu"), ("has_devotee", "hanumān")]
+    assert report["rāma"].works == ["rāmāyaṇa"] and report["rāma"].work_details[0].title == "Rāmāyaṇa"
+    assert "jñānayoga" in report["yoga"].related_concepts and report["nobody"].relations == []
+    queries = spark.createDataFrame([(1, "kṛṣṇa vyāsa"), (2, "yoga")], "query_id long, query string")
+    got = {(r.query_id, r.variant) for r in graph.expand_by_graph(queries, graph.lexicon(spark), edges, spark.createDataFrame([("viṣṇu", "bhāgavata"), ("vyāsa", "bhāgavata"), ("vyāsa", "mahābhārata")], "entity string, work string"), titles).collect()}
+    assert (1, "kṛṣṇa vyāsa Śrīmad Bhāgavata Purāṇa") in got and not any("Mahābhārata" in v for _, v in got) and {v for q, v in got if q == 2} == {"yoga"}
