@@ -204,6 +204,36 @@ def to_iast(text: str | None, kind: str) -> str:
     return "".join(out)
 
 
+def to_devanagari(text: str | None) -> str:
+    """Roman letters with diacritics to Devanagari; what is in no table stays."""
+    vowels = {v: k for k, v in DEVANAGARI_VOWELS.items()}
+    signs = {v: k for k, v in DEVANAGARI_SIGNS.items()}
+    consonants = {v: k for k, v in DEVANAGARI_CONSONANTS.items()}
+    marks = {"ṃ": "ं", "ḥ": "ः", "'": "ऽ"}
+    out, k, open_one = [], 0, False  # whether a consonant waits for its vowel
+    text = text or ""
+    while k < len(text):
+        two, one = text[k : k + 2], text[k]
+        letter = next((x for x in (two, one) if x in consonants or x in vowels), None)
+        if letter in consonants:
+            out.append(("्" if open_one else "") + consonants[letter])
+            open_one = True
+        elif letter:
+            out.append(("" if letter == "a" else signs[letter]) if open_one else vowels[letter])
+            open_one = False
+        else:
+            out.append(("्" if open_one else "") + marks.get(one, one))
+            open_one = False
+        k += len(letter or one)
+    return "".join(out) + ("्" if open_one else "")
+
+
+@F.pandas_udf(StringType())
+def devanagari(texts: pd.Series) -> pd.Series:
+    """Texts without a Devanagari letter from Roman letters; others as they are."""
+    return pd.Series([t if t and any("\u0900" <= c <= "\u097f" for c in t) else to_devanagari(t) for t in texts])
+
+
 @F.pandas_udf(StringType())
 def iast(texts: pd.Series, kinds: pd.Series) -> pd.Series:
     """Texts of the given scripts in Roman letters, in NFC and without accent marks."""
@@ -211,3 +241,24 @@ def iast(texts: pd.Series, kinds: pd.Series) -> pd.Series:
 
     drop = {ord(c): None for c in MARKS}
     return pd.Series([normalize("NFC", to_iast(t, k)).translate(drop).strip() for t, k in zip(texts, kinds, strict=True)])
+
+
+def processed(text: Column) -> dict[str, Column]:
+    """original, cleaned, iast, ascii and length in words of a text."""
+    clean = cleaned(text)
+    roman = iast(clean, script(clean))
+    return {"original": text, "cleaned": clean, "iast": roman, "ascii": ascii_form(roman), "length": F.size(tokens(roman))}
+
+
+def preprocessed(df: DataFrame, text: str = "text", prefixes=PREFIXES, suffixes=SUFFIXES) -> DataFrame:
+    """The rows with original, cleaned, iast, ascii, length, split_words, lemmas, parts_of_speech, lemmas_text and indexed.
+
+    Words are cut into parts, and these are analysed in Devanagari, whatever they were written in; ``indexed`` is the lemmas' text, or the ascii form where that is empty.
+    """
+    named = df.withColumn("cleaned", cleaned(F.col(text)))
+    named = named.withColumn("iast", iast(F.col("cleaned"), script(F.col("cleaned")))).withColumns({"original": F.col(text), "ascii": ascii_form(F.col("iast")), "length": F.size(tokens(F.col("iast")))})
+    cut = named.withColumn("split_words", split_compounds(F.col("iast"), prefixes, suffixes))
+    # Words have no gap, so their texts can be turned in one piece.
+    turned = cut.withColumn("turned", devanagari(F.array_join("split_words", " "))).withColumn("turned", F.when(F.size("split_words") > 0, F.split("turned", " ")).otherwise(F.array().cast("array<string>")))
+    analysed = turned.withColumns({"lemmas": F.transform("turned", lambda w: lemma(w)), "parts_of_speech": F.transform("turned", lambda w: part_of_speech(w))}).drop("turned")
+    return analysed.withColumn("lemmas_text", F.array_join("lemmas", " ")).withColumn("indexed", F.coalesce(F.nullif(F.btrim("lemmas_text"), F.lit("")), F.col("ascii")))

@@ -47,14 +47,17 @@ def with_next(docs: DataFrame, parts: int = 64) -> DataFrame:
 
 
 def query_variants(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, variant: the words whole, their first quarter, half and three quarters, last half, middle, and windows of up to five; and the columns ``more``."""
+    """doc_id, variant: the words whole, their first quarter, half and three quarters, last half, middle, windows of up to five, and of eight words or more three drawn spans; and the columns ``more``."""
     words = docs.select("doc_id", *more, tokens(F.col("text")).alias("w")).withColumn("n", F.size("w")).filter("n >= 4")
     cut = lambda start, size: F.array_join(F.slice("w", (F.lit(1) + start).cast("int"), F.greatest(size, F.lit(0)).cast("int")), " ")
     div = lambda k: F.expr(f"n div {k}")
     fixed = [cut(F.lit(0), F.col("n")), cut(F.lit(0), div(4)), cut(F.lit(0), div(2)), cut(F.lit(0), F.expr("3 * n div 4")), cut(div(2), F.col("n") - div(2)), cut(div(4), F.expr("3 * n div 4") - div(4))]
     size = F.least(F.lit(5), div(2)).cast("int")
     windows = F.transform(F.sequence(F.lit(0), F.col("n") - size, F.lit(2)), lambda k: F.array_join(F.slice("w", k + 1, size), " "))
-    return words.select("doc_id", *more, F.explode(F.array_distinct(F.concat(F.array(*fixed), windows))).alias("variant")).filter("variant <> ''")
+    draw = lambda k, name, n: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), F.col("doc_id").cast("string"), F.lit(f"{name}{k}"))), 1, 15), 16, 10).cast("long"), n).cast("int")
+    length = lambda k: 3 + draw(k, "size", F.least(F.lit(7), F.col("n") - 1) - 2)
+    spans = F.when(F.col("n") >= 8, F.array(*[cut(draw(k, "start", F.col("n") - length(k) + 1), length(k)) for k in range(3)])).otherwise(F.array().cast("array<string>"))
+    return words.select("doc_id", *more, F.explode(F.array_distinct(F.concat(F.array(*fixed), windows, spans))).alias("variant")).filter("variant <> ''")
 
 
 def positive_pairs(docs: DataFrame) -> DataFrame:
@@ -177,8 +180,8 @@ def assembled(*parts: DataFrame, n: int | None = None, seed: int = 42) -> DataFr
     return out.limit(n) if n else out
 
 
-# Letters that look alike in print.
-LOOKALIKE = {"a": "o", "o": "a", "e": "c", "c": "e", "m": "n", "n": "m", "i": "l", "l": "i"}
+# Letters that a scan mistakes for others.
+LOOKALIKE = {"a": "ā", "i": "ī", "u": "ū", "r": "ṛ", "n": "ṇ", "s": "ś", "t": "ṭ", "d": "ḍ"}
 
 
 def noisy(texts: Column, keys: Column, rate: float = 0.1) -> Column:
@@ -194,7 +197,7 @@ def noisy(texts: Column, keys: Column, rate: float = 0.1) -> Column:
                     at = r.randrange(len(w))
                     if r.random() < 0.5:
                         w = w[:at] + LOOKALIKE.get(w[at], w[at]) + w[at + 1 :]
-                    elif r.random() < 0.3:
+                    elif len(w) > 4 and r.random() < 0.3:
                         at = 1 + r.randrange(len(w) - 2)
                         w = w[:at] + w[at + 1 :]
                 out.append(w)
@@ -205,6 +208,20 @@ def noisy(texts: Column, keys: Column, rate: float = 0.1) -> Column:
     return spoil(texts, keys.cast("string"))
 
 
+def augmented(existing: DataFrame, more: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """The ``existing`` pairs and, if they are fewer than ``n``, as many of ``more`` as are wanting, in shuffled order."""
+    have = existing.count()
+    if have >= n:
+        return existing
+    return assembled(existing, more.orderBy(lot("query", "passage", seed=seed), "query", "passage").limit(n - have), seed=seed)
+
+
+def asked_of(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """query_id, query, ground_truth_id, ground_truth_text, work, category: the first halves of ``n`` sampled texts."""
+    rows = sample_rows(docs, n, seed)
+    return rows.select(F.col("doc_id").alias("query_id"), first_half(F.col("text")).alias("query"), F.col("doc_id").alias("ground_truth_id"), F.col("text").alias("ground_truth_text"), F.col("source").alias("work"), F.col("lang").alias("category"))
+
+
 def ltr_groups(pairs: DataFrame) -> DataFrame:
     """Pairs of queries that have two or more, with graded relevance: 2 for easy positives, 1 for others, 0 for negatives."""
     many = F.count("*").over(Window.partitionBy("query"))

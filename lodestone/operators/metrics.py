@@ -67,3 +67,13 @@ def compare_models(scored: DataFrame) -> DataFrame:
     table = classification(scored, ["model"])
     short = table.select("model", *[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
     return short.withColumn("best", F.row_number().over(Window.orderBy(F.desc("f1"), "model")) == 1)
+
+
+def pipeline_measures(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row: success_rate, the part of ``asked(query_id)`` that has a confirmed answer, and stage1_recall, the part that has any; 0 without queries.
+
+    ``answers`` are the confirmed hits (query_id, match) that the engine returns for all queries at once, so there is no time of a single query.
+    """
+    best = answers.groupBy("query_id").agg(F.max(F.col("match").cast("int")).alias("ok"))
+    rows = asked.select("query_id").distinct().join(best, "query_id", "left")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg(F.coalesce("ok", F.lit(0))), 6), F.lit(0.0)).alias("success_rate"), F.coalesce(F.round(F.avg(F.col("ok").isNotNull().cast("int")), 6), F.lit(0.0)).alias("stage1_recall"))

@@ -50,3 +50,11 @@ def untrained(rows: DataFrame) -> DataFrame:
 
 def importances(model: PipelineModel, features: list[str]) -> dict[str, float]:
     return dict(zip(sorted(features), model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+
+
+def save(model: PipelineModel, folder: str) -> None:
+    model.write().overwrite().save(folder)
+
+
+def load(folder: str) -> PipelineModel:
+    return PipelineModel.load(folder)

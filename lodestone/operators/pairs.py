@@ -168,7 +168,9 @@ def terms(text: Column, low: int, high: int) -> Column:
 
 
 def char_terms(text: Column, low: int, high: int) -> Column:
-    return F.concat(*[F.regexp_extract_all(F.lower(whole(text)), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)])
+    """Runs of ``low`` to ``high`` characters of the lower text, white space in a row being one space."""
+    t = F.regexp_replace(F.lower(whole(text)), r"\s\s+", " ")
+    return F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)])
 
 
 def weighted_similarity(pairs: DataFrame, docs: DataFrame, most: int, of=lambda t: terms(t, 1, 2)) -> DataFrame:
@@ -187,6 +189,93 @@ def weighted_similarity(pairs: DataFrame, docs: DataFrame, most: int, of=lambda
     return out.select("query_id", "doc_id", F.round(F.coalesce(F.col("dot") / (F.col("n_wq") * F.col("n_wd")), F.lit(0.0)), 6).alias("similarity"))
 
 
+def weighted_search(docs: DataFrame, queries: DataFrame, k: int, most: int = 1000, of=lambda t: terms(t, 1, 2)) -> DataFrame:
+    """query_id, doc_id, score, rank: the best ``k`` documents by cosine of term weights, where there are no vectors of a model; only such as share a term."""
+    rows = docs.select("doc_id", F.explode(of(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    chosen = rows.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(most)
+    weights = chosen.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    vector = lambda counts, key, w: counts.join(weights, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias(w))
+    d = vector(rows, "doc_id", "wd")
+    q = vector(queries.select("query_id", F.explode(of(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf")), "query_id", "wq")
+    norm = lambda df, key, w: df.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"n_{w}"))
+    dots = q.join(d, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot")).join(norm(q, "query_id", "wq"), "query_id").join(norm(d, "doc_id", "wd"), "doc_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return dots.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("n_wq") * F.col("n_wd")), 6).alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def semantic(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, word_similarity, char_similarity: cosine over runs of one and two words, and of three to five characters."""
+    word = weighted_similarity(pairs, docs, 1000).withColumnRenamed("similarity", "word_similarity")
+    return word.join(weighted_similarity(pairs, docs, 500, lambda t: char_terms(t, 3, 5)).withColumnRenamed("similarity", "char_similarity"), ["query_id", "doc_id"])
+
+
+def semantic_advanced(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id and four cosines: words in runs of one to three, characters of three to six, words of two to four, and their mean."""
+    out = None
+    for name, most, of in (("word_similarity", 2000, lambda t: terms(t, 1, 3)), ("char_similarity", 1000, lambda t: char_terms(t, 3, 6)), ("phrase_similarity", 1000, lambda t: terms(t, 2, 4))):
+        part = weighted_similarity(pairs, docs, most, of).withColumnRenamed("similarity", name)
+        out = part if out is None else out.join(part, ["query_id", "doc_id"])
+    return out.withColumn("mean_similarity", F.round((F.col("word_similarity") + F.col("char_similarity") + F.col("phrase_similarity")) / 3, 6))
+
+
+@F.pandas_udf(IntegerType())
+def common_run(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Most words in a row that two lists share, by the automaton of all runs of the first."""
+
+    def one(x, y) -> int:
+        x, y = (list(v) if v is not None else [] for v in (x, y))
+        after, link, size, last = [{}], [-1], [0], 0
+        for w in x:
+            new = len(after)
+            after.append({})
+            size.append(size[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and w not in after[p]:
+                after[p][w] = new
+                p = link[p]
+            if p >= 0:
+                q = after[p][w]
+                if size[q] == size[p] + 1:
+                    link[new] = q
+                else:
+                    copy = len(after)
+                    after.append(dict(after[q]))
+                    size.append(size[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and after[p].get(w) == q:
+                        after[p][w] = copy
+                        p = link[p]
+                    link[q] = link[new] = copy
+            last = new
+        best = at = n = 0
+        for w in y:
+            while at and w not in after[at]:
+                at = link[at]
+                n = size[at]
+            if w in after[at]:
+                at, n = after[at][w], n + 1
+            best = max(best, n)
+        return best
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def basic_features(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (query_id, doc_id, query, text) with all 11 basic features; terms are weighted over ``docs(doc_id, text)``."""
+    q, p = F.col("query"), F.col("text")
+    place = positional(q, p)
+    own = {**basic_lexical(q, p), "exact_match": place["exact_match"], "match_position": place["match_position"], "word_lcs": common_subsequence(words_of(q), words_of(p))}
+    return pairs.withColumns({k: c.cast("double") for k, c in own.items()}).join(semantic(pairs, docs), ["query_id", "doc_id"])
+
+
+def advanced_features(pairs: DataFrame, docs: DataFrame, families=FAMILIES, endings=ENDINGS) -> DataFrame:
+    """The pairs with all 45 advanced features: 13 of words, 4 of weighted terms, 8 of places and 20 of the language."""
+    q, p = F.col("query"), F.col("text")
+    own = {**advanced_lexical(q, p), **positional(q, p), "word_lcs": common_subsequence(words_of(q), words_of(p)), "max_consecutive": common_run(words_of(q), words_of(p)), **language_features(q, p, families, endings)}
+    return pairs.withColumns({k: c.cast("double") for k, c in own.items()}).join(semantic_advanced(pairs, docs), ["query_id", "doc_id"])
+
+
 # Confirmation
 
 
@@ -224,6 +313,12 @@ def keep_confirmed(rows: DataFrame, k: int) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "doc_id"))).filter(F.col("rank") <= k)
 
 
+def filter_accuracy(cases: DataFrame, patterns: dict[str, list[str]] = WORK_PATTERNS) -> DataFrame:
+    """One row: accuracy, right and total of ``cases(query, text, work, category, expected_match)``, a null expectation being a match; 0 without cases."""
+    met = confirmed(cases, patterns).select((F.col("match") == F.coalesce("expected_match", F.lit(True))).cast("int").alias("ok"))
+    return met.agg(F.coalesce(F.round(F.avg("ok"), 6), F.lit(0.0)).alias("accuracy"), F.coalesce(F.sum("ok"), F.lit(0)).alias("right"), F.count("*").alias("total"))
+
+
 ANSWER = "evaluations array<struct<passage_number:int,relevance_score:double,explanation:string,key_concepts:array<string>>>"
 
 

@@ -74,12 +74,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     Only postings of the queries' terms are counted: the terms go to the scan, and nothing of the corpus but these is
     shuffled.  A term that a query repeats counts as often.
     """
-    wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = wanted.select("term").distinct()
+    terms = wanted_terms(queries).select("term").distinct()
     words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     postings = words.join(terms, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, "term").crossJoin(F.broadcast(corpus_size(docs)))
+    return weighed(postings, corpus_size(docs), wanted_terms(queries), k, k1, b)
+
+
+def wanted_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def bm25_of(postings: DataFrame, size: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The same from the postings (doc_id, dl, term, tf) of all terms, and the one row of the corpus's size."""
+    wanted = wanted_terms(queries)
+    return weighed(postings.join(wanted.select("term").distinct(), "term", "left_semi"), size, wanted, k, k1, b)
+
+
+def weighed(met: DataFrame, size: DataFrame, wanted: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    df = met.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = met.join(df, "term").crossJoin(F.broadcast(size))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = weighted.select("term", "doc_id", part.alias("part")).join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
     return top(scored.withColumn("score", F.round("score", 9)), k)
@@ -100,8 +113,13 @@ def gram_index(docs: DataFrame, n: int = 3) -> DataFrame:
 
 def gram_search(docs: DataFrame, queries: DataFrame, k: int, n: int = 3) -> DataFrame:
     """The best ``k`` documents of each query by Jaccard similarity of their n-grams; only such as share one."""
+    return gram_search_of(gram_index(docs, n), queries, k, n)
+
+
+def gram_search_of(index: DataFrame, queries: DataFrame, k: int, n: int = 3) -> DataFrame:
+    """The same from the index (doc_id, n_grams, gram)."""
     q = queries.select("query_id", grams(F.col("query"), n).alias("g")).select("query_id", F.size("g").alias("q_grams"), F.explode("g").alias("gram"))
-    both = gram_index(docs, n).join(q, "gram").groupBy("query_id", "doc_id", "q_grams", "n_grams").agg(F.count("*").alias("common"))
+    both = index.join(q, "gram").groupBy("query_id", "doc_id", "q_grams", "n_grams").agg(F.count("*").alias("common"))
     return top(both.select("query_id", "doc_id", (F.col("common") / (F.col("q_grams") + F.col("n_grams") - F.col("common"))).alias("score")), k)
 
 
@@ -130,9 +148,18 @@ def partial_search(docs: DataFrame, queries: DataFrame, window: int = WINDOW, ov
     windows cover the query there; with ``wide``, a query longer than two windows counts wherever it fits in the document, as if the
     windows were as long as it needs, and else it has no match.  In a document of one window, an offset counts if all the query's words that the corpus has, its first among them, are in it.
     """
-    step = window - overlap
+    return partial_search_of(word_places(docs), queries, window, overlap, wide)
+
+
+def word_places(docs: DataFrame) -> DataFrame:
+    """doc_id, n, pos, word: every word of the lower text with its place, and how many there are."""
     words = docs.select("doc_id", tokens(F.lower("text")).alias("w"))
-    d = words.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    return words.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+
+
+def partial_search_of(d: DataFrame, queries: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, wide: bool = False) -> DataFrame:
+    """The same from the places (doc_id, n, pos, word)."""
+    step = window - overlap
     qw = queries.select("query_id", tokens(F.lower("query")).alias("qw")).withColumn("qlen", F.size("qw"))
     q = qw.select("query_id", "qlen", F.posexplode("qw").alias("qpos", "word"))
     offsets = d.join(q, "word").groupBy("query_id", "doc_id", "qlen", "n", (F.col("pos") - F.col("qpos")).alias("at")).agg(F.count("*").alias("hits"))
@@ -180,16 +207,20 @@ def expand_synonyms(queries: DataFrame, table: dict[str, list[str]] = SYNONYMS)
     return queries.select("query_id", F.explode(F.array_distinct(F.concat(F.array("query"), *lists))).alias("variant"))
 
 
-def fused_search(docs: DataFrame, queries: DataFrame, k: int, table: dict[str, list[str]] = SYNONYMS, weights: dict[str, float] = WEIGHTS, use_partial: bool = True, variants: DataFrame | None = None, wide: bool = False) -> DataFrame:
+def fused_search(docs: DataFrame, queries: DataFrame, k: int, table: dict[str, list[str]] = SYNONYMS, weights: dict[str, float] = WEIGHTS, use_partial: bool = True, variants: DataFrame | None = None, wide: bool = False, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """query_id, doc_id, score, base, partial, rank: BM25 and n-grams of all variants of a query, and partial matches of the query itself.
 
     Each variant's list of 2k is divided by its greatest score and weighted; an index of weight 0 is not searched.  What
-    both find counts 0.7 of the one and 0.5 of the other, what only the partial search finds 0.8 of that.
+    both find counts 0.7 of the one and 0.5 of the other, what only the partial search finds 0.8 of that.  With the tables of ``index_tables`` no text is read.
     """
+    index = index or {}
     named = (variants or expand_synonyms(queries, table)).withColumn("variant_id", F.struct("query_id", "variant"))
     many = named.groupBy("query_id").agg(F.count("*").alias("n_variants"))
     each = named.select(F.col("variant_id").alias("query_id"), F.col("variant").alias("query"))
-    lists = [(bm25(docs, each, 2 * k), weights["bm25"]), (gram_search(docs, each, 2 * k), weights["ngram"])]
+    lists = [
+        (bm25_of(index["postings"], index["size"], each, 2 * k) if index else bm25(docs, each, 2 * k), weights["bm25"]),
+        (gram_search_of(index["grams"], each, 2 * k) if index else gram_search(docs, each, 2 * k), weights["ngram"]),
+    ]
     best = Window.partitionBy("query_id")
     parts = None
     for found, weight in lists:
@@ -200,7 +231,7 @@ def fused_search(docs: DataFrame, queries: DataFrame, k: int, table: dict[str, l
     base = parts.join(many, "query_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") / F.col("n_variants")).alias("base"))
     if not use_partial:
         return top(base.select("query_id", "doc_id", F.round("base", 6).alias("score"), F.round("base", 6).alias("base"), F.lit(None).cast("double").alias("partial")), k)
-    found = partial_search(docs, queries, wide=wide).filter("score > 0").select("query_id", "doc_id", F.col("score").alias("partial"))
+    found = (partial_search_of(index["places"], queries, wide=wide) if index else partial_search(docs, queries, wide=wide)).filter("score > 0").select("query_id", "doc_id", F.col("score").alias("partial"))
     both = base.join(found, ["query_id", "doc_id"], "full_outer")
     score = F.when(F.col("partial").isNull(), F.col("base")).when(F.col("base").isNull(), F.col("partial") * 0.8).otherwise(F.col("base") * 0.7 + F.col("partial") * 0.5)
     return top(both.select("query_id", "doc_id", F.round(score, 6).alias("score"), F.round("base", 6).alias("base"), F.round("partial", 6).alias("partial")), k)
@@ -218,6 +249,12 @@ def words_with(words: DataFrame, terms: DataFrame) -> DataFrame:
     return grams.join(asked_for, "gram").filter(F.contains("word", F.col("term"))).select("word", "term")
 
 
+def index_tables(docs: DataFrame) -> dict[str, DataFrame]:
+    """What the searches need of a corpus, each sorted by what they look for: postings, the corpus's size, grams and places of words."""
+    by = lambda df, key: df.repartition(key).sortWithinPartitions(key, "doc_id")
+    return {"postings": by(term_counts(docs), "term"), "size": corpus_size(docs), "grams": by(gram_index(docs), "gram"), "places": by(word_places(docs), "word")}
+
+
 def simple_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Query terms as words count 2, inside words 1; several found terms raise the score, long texts lower it.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metadata, text
-from .operators import datasets, graph, metrics, models, pairs, search
+from .operators import answers, datasets, graph, metrics, models, pairs, search, testsets
 from .plans.engine import Engine
 from .sources import tables
 
@@ -685,6 +685,17 @@ def tfidf_similarity(spark, sf_dir):
     return pairs.weighted_similarity(pairs_of(spark, sf_dir), corpus_of(spark, sf_dir), 1000)
 
 
+@registered(rf"""WITH {QUOTES}, dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM documents), dt AS (SELECT doc_id, w || CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS ts FROM dw),
+    dtf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM dt) GROUP BY doc_id, term), ch AS (SELECT term, count(*) AS df FROM dtf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 1000),
+    wt AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM ch), wd AS (SELECT doc_id, term, tf * idf AS wd FROM dtf JOIN wt USING (term)),
+    qw AS (SELECT query_id, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM qs), qt AS (SELECT query_id, w || CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS ts FROM qw),
+    wq AS (SELECT query_id, term, count(*) * any_value(idf) AS wq FROM (SELECT query_id, unnest(ts) AS term FROM qt) JOIN wt USING (term) GROUP BY query_id, term),
+    nq AS (SELECT query_id, sqrt(sum(wq * wq)) AS nq FROM wq GROUP BY query_id), nd AS (SELECT doc_id, sqrt(sum(wd * wd)) AS nd FROM wd GROUP BY doc_id),
+    sc AS (SELECT query_id, doc_id, round(sum(wq * wd) / (any_value(nq) * any_value(nd)), 6) AS score FROM wq JOIN wd USING (term) JOIN nq USING (query_id) JOIN nd USING (doc_id) GROUP BY query_id, doc_id) {ranked_sql('sc', 10)}""")
+def weighted_topk(spark, sf_dir):
+    return pairs.weighted_search(corpus_of(spark, sf_dir), quotes_of(spark, sf_dir), 10)
+
+
 # Confirmation
 
 TEST_WORKS = {"one": ["the", "that"], "two": ["der", "die"], "three": ["que.*la", "el"]}
@@ -721,6 +732,11 @@ def confirm_filter(spark, sf_dir):
     return pairs.keep_confirmed(pairs.confirmed(p, TEST_WORKS), 3).select("query_id", "doc_id", "confidence", "predicted_work", "predicted_category", "predicted_verse", "match", "reasoning", "rank")
 
 
+@registered(f"""WITH {PAIRS_CTE}, c AS (SELECT ({CONF} > 0.5) = (query_id % 2 = 0) AS ok FROM pr) SELECT round(avg(ok::INT), 6) AS accuracy, CAST(sum(ok::INT) AS BIGINT) AS "right", count(*) AS total FROM c""")
+def filter_accuracy(spark, sf_dir):
+    return pairs.filter_accuracy(pairs_of(spark, sf_dir).withColumns({"work": F.lit("x"), "category": F.lit("y"), "expected_match": F.col("query_id") % 2 == 0}))
+
+
 @registered("SELECT conv_id, turn, CAST(unnest(range(1, 4)) AS INT) AS passage, unnest(CASE WHEN turn % 3 = 2 THEN [6.0, 6.0, 6.0] ELSE [(conv_id % 10)::DOUBLE, 5.0, (turn + 1)::DOUBLE] END)::DOUBLE AS score FROM conversations")
 def llm_parse(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
@@ -732,9 +748,14 @@ def llm_parse(spark, sf_dir):
 # Datasets
 
 
-@registered(f"""WITH w AS (SELECT doc_id, {tok('text')} AS w, len({tok('text')}) AS n FROM documents), f AS (SELECT doc_id, w, n, least(5, n // 2) AS k FROM w WHERE n >= 4),
+def lot_sql(name: str) -> str:
+    return f"CAST('0x' || substr(md5('42|' || doc_id || '|{name}'), 1, 15) AS BIGINT)"
+
+
+@registered(f"""WITH w AS (SELECT doc_id, {tok('text')} AS w, len({tok('text')}) AS n FROM documents), f AS (SELECT doc_id, w, n, least(5, n // 2) AS k, {', '.join(f"3 + {lot_sql(f'size{j}')} % greatest(least(7, n - 1) - 2, 1) AS z{j}" for j in range(3))} FROM w WHERE n >= 4),
     v AS (SELECT doc_id, unnest(list_distinct([array_to_string(w, ' '), array_to_string(w[1:n // 4], ' '), array_to_string(w[1:n // 2], ' '), array_to_string(w[1:3 * n // 4], ' '), array_to_string(w[n // 2 + 1:n], ' '), array_to_string(w[n // 4 + 1:3 * n // 4], ' ')]
-        || list_transform(range(0, n - k + 1, 2), lambda i: array_to_string(w[i + 1:i + k], ' ')))) AS variant FROM f)
+        || list_transform(range(0, n - k + 1, 2), lambda i: array_to_string(w[i + 1:i + k], ' '))
+        || CASE WHEN n >= 8 THEN [{', '.join(f"array_to_string(w[{lot_sql(f'start{j}')} % (n - z{j} + 1) + 1:{lot_sql(f'start{j}')} % (n - z{j} + 1) + z{j}], ' ')" for j in range(3))}] ELSE [] END)) AS variant FROM f)
     SELECT doc_id, variant FROM v WHERE variant <> ''""")
 def query_variants(spark, sf_dir):
     return datasets.query_variants(docs_of(spark, sf_dir))
@@ -784,6 +805,52 @@ def exact_match_exhaustive(spark, sf_dir):
 SUBSTITUTES = {"the": ["of", "and"], "der": ["die"]}
 
 
+def drawn_sql(n: str, *keys: str) -> str:
+    return f"(CASE WHEN {n} > 0 THEN CAST('0x' || substr(md5(concat_ws('|', '42', {', '.join(keys)})), 1, 15) AS BIGINT) % {n} ELSE 0 END)"
+
+
+@registered(f"""WITH w AS (SELECT doc_id, {tok('text')} AS w, unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS query_coverage FROM documents), n AS (SELECT *, greatest(2, CAST(floor(len(w) * query_coverage) AS BIGINT)) AS n FROM w WHERE len(w) >= 6),
+    s AS (SELECT *, {drawn_sql('(len(w) - n + 1)', 'doc_id', 'query_coverage')} AS st FROM n) SELECT doc_id, query_coverage, array_to_string(w[st + 1:st + n], ' ') AS query FROM s""")
+def exact_spans(spark, sf_dir):
+    return testsets.exact_spans(docs_of(spark, sf_dir))
+
+
+@registered(f"""WITH d AS (SELECT doc_id, {tok('text')} AS words, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS place, count(*) OVER () AS members FROM documents), e AS (SELECT a.doc_id, a.words, b.words AS other FROM d a JOIN d b ON b.place = (a.place + 1) % a.members WHERE len(a.words) >= 6),
+    r AS (SELECT *, unnest([4, 6, 8, 10]) AS query_length FROM (SELECT *, unnest([0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS overlap_ratio FROM e)), o AS (SELECT *, greatest(1, CAST(floor(query_length * overlap_ratio) AS INT)) AS own, len(words) AS n FROM r WHERE query_length < len(words)),
+    s AS (SELECT *, greatest(n // own, 1) AS step, {drawn_sql('n', 'doc_id', 'overlap_ratio', 'query_length', "'own'")} AS st FROM o),
+    t AS (SELECT *, [words[(st + k * step) % n + 1] FOR k IN range(0, own)] AS taken, [other[{drawn_sql('len(other)', 'doc_id', 'overlap_ratio', 'query_length', "'other'", 'k')} + 1] FOR k IN range(1, query_length - own + 1)] AS picked FROM s),
+    b AS (SELECT *, taken || [x FOR x IN picked IF x IS NOT NULL AND NOT list_contains(taken, x)] AS words2 FROM t),
+    u AS (SELECT doc_id, overlap_ratio, query_length, unnest(words2) AS x, generate_subscripts(words2, 1) - 1 AS k FROM b),
+    v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, overlap_ratio, query_length ORDER BY md5(concat_ws('|', doc_id, overlap_ratio, query_length, x, k)), k) AS r FROM u),
+    q AS (SELECT doc_id, overlap_ratio, query_length, string_agg(x, ' ' ORDER BY r) AS query FROM v WHERE r <= query_length GROUP BY doc_id, overlap_ratio, query_length)
+    SELECT *, CASE WHEN overlap_ratio >= 0.6 THEN 'medium-high' WHEN overlap_ratio >= 0.4 THEN 'medium' ELSE 'low-medium' END AS expected_score, CASE WHEN overlap_ratio >= 0.4 THEN 'medium' ELSE 'hard' END AS difficulty FROM q WHERE length(trim(query, ' ')) > 10""")
+def partial_matches(spark, sf_dir):
+    return testsets.partial_matches(docs_of(spark, sf_dir))
+
+
+@registered(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS term, '{s}' AS related, '{c}' AS context, '{c} {s}' AS query FROM documents WHERE contains(lower(text), '{k}')" for k, ss in SUBSTITUTES.items() for s in ss for c in testsets.CONTEXTS))
+def context_queries(spark, sf_dir):
+    return testsets.context_queries(docs_of(spark, sf_dir), SUBSTITUTES)
+
+
+@registered(f"""WITH t AS (SELECT content, m.lot AS lot, m.doc_id AS doc_id FROM (SELECT md5(text) AS content, min(struct_pack(lot := md5('42|' || doc_id), doc_id := doc_id)) AS m FROM documents WHERE text IS NOT NULL GROUP BY md5(text))), r AS (SELECT *, row_number() OVER (ORDER BY lot, doc_id) - 1 AS place, count(*) OVER () AS members FROM t),
+    a AS (SELECT d.doc_id, place, members, {drawn_sql('(members - 1)', 'd.doc_id', "'random'")} AS st FROM documents d JOIN r ON md5(d.text) = r.content WHERE members > 1)
+    SELECT a.doc_id, b.doc_id AS other_id FROM a JOIN r b ON b.place = (a.place + 1 + st % (a.members - 1)) % a.members""")
+def random_negatives(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return testsets.random_negatives(docs, docs)
+
+
+@registered()
+def first_test_set(spark, sf_dir):
+    return testsets.test_set(docs_of(spark, sf_dir), SUBSTITUTES).select("doc_id", "query", "label", "test_type", "expected_score", "difficulty", "work", "category", "query_coverage", "overlap_ratio", "term", "related", "negative_type", F.md5("passage").alias("passage_md5"))
+
+
+@registered()
+def large_test_set(spark, sf_dir):
+    return testsets.large_set(docs_of(spark, sf_dir), SUBSTITUTES, 1000).select("doc_id", "query", "label", "test_type", "expected_score", "difficulty", "work", "category", "negative_type", F.md5("passage").alias("passage_md5"))
+
+
 @registered(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS term, '{s}' AS synonym, replace(h, '{k}', '{s}') AS query FROM (SELECT doc_id, {head('lower(text)')} AS h FROM documents) WHERE contains(h, '{k}')" for k, ss in SUBSTITUTES.items() for s in ss))
 def semantic_substitutions(spark, sf_dir):
     return datasets.substitutions(docs_of(spark, sf_dir), SUBSTITUTES)
@@ -880,20 +947,31 @@ def ndcg_at_5(spark, sf_dir):
 
 # Models and the whole way
 
-BASIC = ["word_overlap", "jaccard", "query_length", "passage_length", "length_ratio", "char_overlap"]
+BASIC = ["word_overlap", "jaccard", "query_length", "passage_length", "length_ratio", "char_overlap", "exact_match", "match_position", "word_lcs", "word_similarity", "char_similarity"]
 
 
-def learning_rows(spark, sf_dir):
-    p = all_pairs(spark, sf_dir)
-    made = pairs.basic_lexical(F.col("query"), F.col("passage"))
-    return p.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") * 2 + F.col("label")).alias("doc_id"), F.col("label").cast("double").alias("label"), F.col("label").alias("relevance"), *[made[k].cast("double").alias(k) for k in BASIC])
+def learning_rows(spark, sf_dir, featured_by):
+    """The pairs of all documents with features; a passage is named by its document's id and whether it is the right one."""
+    p = all_pairs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), (F.col("doc_id") * 2 + F.col("label")).alias("doc_id"), "query", F.col("passage").alias("text"), F.col("label").cast("double").alias("label"), F.col("label").alias("relevance"))
+    return featured_by(p, p.select("doc_id", "text"))
 
 
-def learned(spark, sf_dir, fit):
-    train, test = models.split(learning_rows(spark, sf_dir), ["query_id"])
+def learned(spark, sf_dir, fit, featured_by=pairs.basic_features, features=BASIC):
+    rows = learning_rows(spark, sf_dir, featured_by)
+    rows = rows.select("query_id", "doc_id", "label", "relevance", *features).persist()
+    train, test = models.split(rows, ["query_id"])
     return models.ranked(fit(train), test).select("query_id", "doc_id", "label", "ranking_score", "final_rank")
 
 
+ADVANCED = [
+    "word_overlap_ratio", "jaccard_similarity", "dice_coefficient", "short_word_overlap", "long_word_overlap", "query_length", "passage_length", "length_ratio", "length_diff", "query_word_count", "passage_word_count", "word_count_ratio", "char_overlap_ratio",
+    "word_similarity", "char_similarity", "phrase_similarity", "mean_similarity",
+    "exact_match", "match_position", "match_position_normalized", "first_word_match", "last_word_match", "order_preservation", "word_lcs", "max_consecutive",
+    *[f"{side}{f}{end}" for f in [*pairs.FAMILIES, *pairs.SIGNS] for side, end in (("query_", "_count"), ("passage_", "_count"), ("", "_overlap"))],
+    "query_diacritic_density", "passage_diacritic_density", "diacritic_density_diff", "query_endings", "passage_endings",
+]
+
+
 @registered()
 def rf_rank(spark, sf_dir):
     return learned(spark, sf_dir, lambda rows: models.fit_forest(rows, BASIC, trees=100, depth=10))
@@ -901,7 +979,7 @@ def rf_rank(spark, sf_dir):
 
 @registered()
 def gbt_rank(spark, sf_dir):
-    return learned(spark, sf_dir, lambda rows: models.fit_boosted(rows, BASIC, rounds=20))
+    return learned(spark, sf_dir, lambda rows: models.fit_boosted(rows, ADVANCED), pairs.advanced_features, ADVANCED)
 
 
 @registered()
@@ -909,6 +987,18 @@ def ltr_pairwise_rank(spark, sf_dir):
     return learned(spark, sf_dir, lambda rows: models.fit_pairwise(rows, BASIC))
 
 
+@registered()
+def basic_features_all(spark, sf_dir):
+    """The 11 features of the five best hits of each quote."""
+    return pairs.basic_features(pairs_of(spark, sf_dir), corpus_of(spark, sf_dir)).drop("query", "text")
+
+
+@registered()
+def advanced_features_all(spark, sf_dir):
+    """The 45 features of the five best hits of each quote."""
+    return pairs.advanced_features(pairs_of(spark, sf_dir), corpus_of(spark, sf_dir)).drop("query", "text")
+
+
 @registered(f"""WITH {fused_sql(10)}, v AS (SELECT fused.query_id, fused.doc_id, query AS q, coalesce(text, '') AS p, round(1.0 - 0.1 * (rank - 1), 6)::DOUBLE AS ranking_score FROM fused JOIN qs USING (query_id) JOIN documents d ON d.doc_id = fused.doc_id),
     c AS (SELECT query_id, doc_id, ranking_score, {CONF} AS confidence FROM v), m AS (SELECT *, confidence > 0.5 AS "match", max((confidence > 0.5)::INT) OVER (PARTITION BY query_id) AS any_match FROM c)
     SELECT query_id, doc_id, ranking_score, confidence, "match" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, doc_id) AS r FROM m WHERE "match" OR any_match = 0) WHERE r = 1""")
@@ -919,6 +1009,34 @@ def pipeline_end_to_end(spark, sf_dir):
     return pairs.keep_confirmed(pairs.confirmed(full.drop("rank")), 1).select("query_id", "doc_id", "ranking_score", "confidence", "match")
 
 
+@registered()
+def text_processed(spark, sf_dir):
+    made = text.preprocessed(docs_of(spark, sf_dir).select("doc_id", "text"), prefixes=TEST_PREFIXES, suffixes=TEST_SUFFIXES)
+    return made.select("doc_id", "cleaned", "iast", "ascii", "length", F.array_join("split_words", " ").alias("split_words"), "lemmas_text", "indexed")
+
+
+def word_model(prompt: str) -> str:
+    """A stand-in for a model: the score of a passage is how many words of six letters or more it shares with the query, ten at most."""
+    import json
+    import re
+
+    asked, listed = prompt.split('Query: "', 1)[1], re.findall(r"(?m)^(\d+)\. (.*)$", prompt)
+    words = {w for w in asked.split('"\n', 1)[0].lower().split() if len(w) >= 6}
+    return json.dumps({"evaluations": [{"passage_number": int(k), "relevance_score": min(10, len(words & set(t.lower().split())))} for k, t in listed]})
+
+
+@registered()
+def engine_answers(spark, sf_dir):
+    """The web search as an API: each quote's ten first of 128 hits, the first 20 scored by a stand-in for a model."""
+    return Engine(spark, docs_of(spark, sf_dir), TEST_SYNONYMS).answer(quotes_of(spark, sf_dir), ask=word_model).drop("text")
+
+
+@registered()
+def pipeline_measures(spark, sf_dir):
+    asked = quotes_of(spark, sf_dir)
+    return metrics.pipeline_measures(asked, Engine(spark, docs_of(spark, sf_dir), TEST_SYNONYMS).retrieve(asked, 20))
+
+
 @registered()
 def engine_retrieve(spark, sf_dir):
     engine = Engine(spark, docs_of(spark, sf_dir), TEST_SYNONYMS)
