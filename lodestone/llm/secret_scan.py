@@ -3,7 +3,8 @@
 Everything is columns and SQL functions.  A candidate is a run of key-like characters with a digit, an AWS key id, or whatever
 is assigned to a name with a secret word, however short and of whatever characters.  The forest sees its length
 and spread of characters, how its characters follow one another, how much of it is dictionary words, whether it is part of a
-path, and the words beside it.  It learns from labelled findings; by default these are made by rule.
+path, and the words beside it.  The dictionary is the corpus's own: words that several of its documents have.  The forest learns from
+labelled findings; by default these are made by rule, from words of that dictionary.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ ASSIGNED = NAMED + GIVEN
 BESIDE = 60
 #: Labelled findings that the forest is fitted on at most.
 FINDINGS = 6000
+#: Documents that a word must be in to be one of the dictionary, and how many of its words findings are made from.
+IN_DOCUMENTS, DRAWN = 3, 64
+#: What findings are made from where the corpus has no dictionary.
 WORDS = "the and for with from this that your test example sample dummy changeme placeholder fake demo user name key token secret value data file image page section chapter order number item index version release build commit report invoice customer product table figure config default production".split()
 SECRET_WORDS = r"(?i)(password|passwd|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth|bearer|credential|private)"
 PLAIN_WORDS = r"(?i)(example|sample|dummy|placeholder|fake|commit|sha1|sha256|md5|checksum|digest|uuid|guid|order|invoice|number|phone|card|serial|isbn|tracking|revision)"
@@ -66,8 +70,33 @@ def character_classes() -> Column:
     return reduce(lambda s, x: F.regexp_replace(s, *x), steps, F.col("value"))
 
 
+def dictionary(docs: DataFrame, least: int = IN_DOCUMENTS) -> DataFrame:
+    """word, documents: the runs of three letters or more, in lower case, that ``least`` documents or more have."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(docs)), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least)
+
+
+def drawn_words(words: DataFrame, n: int = DRAWN) -> list[str]:
+    """The ``n`` words of four letters or more that most documents have; the list above where there are fewer than ten."""
+    found = [r["word"] for r in words.filter(F.length("word") >= 4).orderBy(F.desc("documents"), "word").limit(n).collect()]
+    return found if len(found) >= 10 else WORDS
+
+
+def covered(found: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of ``found``, named by ``key``, with known: letters of the runs ``found.runs`` (hash and length) that are words of the dictionary."""
+    named = words.select(F.xxhash64("word").alias("hash"))
+    runs = found.select(*key, F.explode("runs").alias("r")).select(*key, F.col("r.hash").alias("hash"), F.col("r.n").alias("n"))
+    hits = runs.join(named, "hash", "left_semi").groupBy(*key).agg(F.sum("n").alias("known"))
+    return found.join(hits, key, "left").withColumn("known", F.coalesce("known", F.lit(0)))
+
+
+def letter_runs() -> Column:
+    """Hash and length of each run of three letters or more in the lower value."""
+    return F.transform(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: F.struct(F.xxhash64(w).alias("hash"), F.length(w).alias("n")))
+
+
 def features() -> dict[str, Column]:
-    """The forest's inputs, from the columns value, left, right and classes."""
+    """The forest's inputs but coverage, from the columns value, left, right and classes."""
     value, left, right = F.col("value"), F.col("left"), F.col("right")
     size = F.length(value).cast("double")
     marks = dict(zip(CLASSES, "\u0001\u0002\u0003\u0004", strict=True))
@@ -75,11 +104,9 @@ def features() -> dict[str, Column]:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     share = lambda ch: (size - F.length(F.replace(value, ch, F.lit("")))) / size
     entropy = F.aggregate(F.array_distinct(F.split(value, "")), F.lit(0.0), lambda a, ch: a + F.when(ch == "", 0.0).otherwise(-share(ch) * F.log2(share(ch))))
-    runs = F.regexp_extract_all(F.lower(value), F.lit("[a-z]{3,}"), F.lit(0))
-    known = F.aggregate(runs, F.lit(0), lambda a, w: a + F.when(w.isin(WORDS), F.length(w)).otherwise(F.lit(0)))
     out = {
         "size": size, "entropy": entropy, "upper": part("[A-Z]"), "lower": part("[a-z]"), "digit": part("[0-9]"), "hex": flag(value.rlike(KINDS["hex"])), "aws": flag(value.rlike(KINDS["aws_access_key"])),
-        "coverage": known / size, "slashes": F.regexp_count(value, F.lit("/")).cast("double"), "dashes": F.regexp_count(value, F.lit("[_-]")).cast("double"),
+        "slashes": F.regexp_count(value, F.lit("/")).cast("double"), "dashes": F.regexp_count(value, F.lit("[_-]")).cast("double"),
         "in_path": flag(left.rlike(r"(://|/|\\|\.)[^\s\"'=]*$") | right.rlike(r"^(/|\.[A-Za-z0-9]{1,5}\b)")), "assigned": flag(left.rlike(r"[=:]\s*[\"']?$")), "quoted": flag(left.rlike(r"[\"']$") & right.rlike(r"^[\"']")),
         "secret_word": flag(left.rlike(SECRET_WORDS + r"[^\s]{0,12}\s*[=:]?\s*[\"']?$")), "secret_near": flag(left.rlike(SECRET_WORDS)), "plain_word": flag(left.rlike(PLAIN_WORDS) | right.rlike(PLAIN_WORDS) | value.rlike(PLAIN_WORDS)),
     }
@@ -89,14 +116,14 @@ def features() -> dict[str, Column]:
     return out
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Findings made by rule, half of them secrets: value, left, right, label.  The same ones every time."""
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, words: list[str] = WORDS) -> DataFrame:
+    """Findings made by rule, with ``words`` for prose, half of them secrets: value, left, right, label.  The same ones every time."""
     rows = spark.range(n, numPartitions=1).select("id", F.sha2(F.concat(F.lit("a"), "id"), 512).alias("h"), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), "id"), 256))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"))
     hexes = lambda least, most: F.substring("h", F.lit(1), F.lit(least) + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(most - least + 1)).cast("int"))
     upper = F.substring(F.regexp_replace(F.upper("b"), "[^0-9A-Z]", ""), 1, 16)
     digits = F.substring(F.regexp_replace("h", "[^0-9]", ""), 1, 16)
     mixed = F.substring(F.regexp_replace("b", "[^0-9A-Za-z]", ""), 1, 32)
-    word = lambda k: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
+    word = lambda k: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64("id", F.lit(99)), F.lit(len(xs))) + 1).cast("int"))
     low = F.regexp_replace(F.lower("b"), "[^a-z]", "")
     some_digits = F.substring(digits, F.lit(1), F.lit(1) + F.pmod(F.xxhash64("id", F.lit(6)), F.lit(3)).cast("int"))
@@ -136,27 +163,39 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
 
 def measured(found: DataFrame) -> DataFrame:
+    """The findings with the forest's inputs but coverage, and runs, by which that is looked up; value, left and right are gone."""
     inputs = features()
-    return VectorAssembler(inputCols=list(inputs), outputCol="features").transform(found.withColumn("classes", character_classes()).withColumns(inputs)).drop("classes", *inputs)
+    return found.withColumn("classes", character_classes()).withColumns({**inputs, "runs": letter_runs()}).drop("classes", "value", "left", "right")
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """The rows with ``features``, from the inputs and ``known``."""
+    full = rows.withColumn("coverage", F.coalesce(F.try_divide(F.col("known").cast("double"), F.col("size")), F.lit(0.0)))
+    inputs = [*features(), "coverage"]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(full).drop("runs", "known", *inputs)
 
 
-def fit_forest(labelled: DataFrame, trees: int = 24, depth: int = 8) -> RandomForestClassificationModel:
-    """A forest on at most ``FINDINGS`` labelled findings (value, left, right, label)."""
-    rows = keep_table(labelled.orderBy(F.xxhash64("value", "left", "right"), "label").limit(FINDINGS), "secret-labels")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(measured(rows).select("features", "label"))
+def fit_forest(labelled: DataFrame, words: DataFrame | None = None, trees: int = 24, depth: int = 8) -> RandomForestClassificationModel:
+    """A forest on at most ``FINDINGS`` labelled findings (value, left, right, label), with the dictionary ``words(word)``."""
+    words = words if words is not None else labelled.sparkSession.createDataFrame([(w,) for w in WORDS], "word string")
+    first = labelled.orderBy(F.xxhash64("value", "left", "right"), "label").limit(FINDINGS).withColumn("id", F.xxhash64("value", "left", "right"))
+    rows = keep_table(assembled(covered(measured(first), words, ["id"])), "secret-labels")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(rows.select("features", "label"))
 
 
 def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel | None = None, least: float = 0.5) -> DataFrame:
     """A row for each candidate of ``docs(doc_id, text)``: doc_id, start, length, kind, value_sha256, score, is_secret.
 
     Null and empty texts have none; nor has an empty table.  Rows that repeat are scanned each, null ids are passed
-    through, and other columns are ignored.  The secret itself is not returned.
+    through, texts of any length are read whole, and other columns are ignored.  The secret itself is neither returned nor kept.
     """
-    model = model or fit_forest(labelled_findings(docs.sparkSession))
-    found = keep_table(findings(docs), "secret-findings")
-    scored = model.transform(measured(found)).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+    words = keep_table(dictionary(docs), "secret-words")
+    model = model or fit_forest(labelled_findings(docs.sparkSession, words=drawn_words(words)), words)
     kind = reduce(lambda c, k: F.when(F.col("value").rlike(KINDS[k]), F.lit(k)).otherwise(c), ("hex", "digits", "aws_access_key"), F.lit("mixed"))
-    return scored.select("doc_id", "start", F.length("value").cast("long").alias("length"), kind.alias("kind"), F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= least).alias("is_secret"))
+    found = findings(docs).withColumns({"length": F.length("value").cast("long"), "kind": kind, "value_sha256": F.sha2("value", 256)})
+    rows = keep_table(measured(found).withColumn("finding", F.monotonically_increasing_id()), "secret-findings")
+    scored = model.transform(assembled(covered(rows, words, ["finding"]))).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+    return scored.select("doc_id", "start", "length", "kind", "value_sha256", "score", (F.col("score") >= least).alias("is_secret"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
