@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_table
+from .shared import forget, keep_table
 
 
 def star(links: DataFrame, large: bool) -> DataFrame:
@@ -31,6 +31,11 @@ def components(links: DataFrame, name: str) -> DataFrame:
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before or mark[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found.kept_at = now.kept_at
+            return found
         before = mark
-        now = keep_table(star(keep_table(star(now, True), name), False), name)
+        large = keep_table(star(now, True), name)
+        small = keep_table(star(large, False), name)
+        forget(now, large)
+        now = small

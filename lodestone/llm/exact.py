@@ -65,24 +65,18 @@ def streamed_state(seen: DataFrame, files_a_batch: int = 64) -> DataFrame:
     spark = seen.sparkSession
     folder = run_dir(spark, "exact-stream")
     source = seen.inputFiles()[0].rsplit("/", 1)[0]
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
-        entries = stream.groupBy("digest").agg(F.count("*").alias("n"), best().alias("best"))
-
-        def save(changed: DataFrame, batch: int) -> None:
-            changed.select("digest", "n", "best").write.mode("overwrite").parquet(f"{folder}/entries/batch={batch}")
-
-        query = entries.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    # The stream has a session of its own, so that its stores are set up for no other stream.
+    session = spark.newSession()
+    for k, v in {**{k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.") and spark.conf.isModifiable(k)}, **STORE}.items():
+        session.conf.set(k, v)
+    stream = session.readStream.schema(seen.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    entries = stream.groupBy("digest").agg(F.count("*").alias("n"), best().alias("best"))
+
+    def save(changed: DataFrame, batch: int) -> None:
+        changed.select("digest", "n", "best").write.mode("overwrite").parquet(f"{folder}/entries/batch={batch}")
+
+    query = entries.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
     entries = spark.read.parquet(f"{folder}/entries")
     if len(entries.select("batch").distinct().take(2)) > 1:
         # Counts of a digest only grow.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .recurring import mixed, rolling
-from .shared import NO_ID, keep_table, one_row_each, parts, text_id, text_of
+from .shared import NO_ID, forget, keep_table, one_row_each, parts, text_id, text_of
 
 #: Registers, a prime number, so that steps of any length visit each once; bands of registers.
 REGISTERS = 131
@@ -292,17 +292,25 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = keep_table(representatives(rows), "near-sets")
     members = keep_table(shared(banded(reps)).withColumn("root", F.col("vertex")), "near-buckets")
     sets = keep_table(full_sets(docs, reps, members.select("vertex")), "near-elements")
-    joined = lambda links, before=None: components(links if before is None else before.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links), "near-components")
+
+    def joined(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        found = components(links if before is None else before.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links), "near-components")
+        forget(links, *([] if before is None else [before]))
+        return found
+
     # First each bucket around any one member, then around the one of which most is shared, then whatever is still apart.
     found = joined(keep_table(confirmed(likely(star_pairs(members, F.lit(0)), reps, percent), sets, percent), "near-links"))
-    opened = still_open(rooted(members, found))
-    opened = keep_table(still_open(able(keep_table(opened, "near-open"), sets, percent)), "near-able")
-    if not opened.isEmpty():
-        found = joined(keep_table(confirmed(likely(star_pairs(opened, F.col("free") / F.col("n")), reps, percent), sets, percent), "near-links"), found)
-        opened = keep_table(still_open(rooted(opened, found)), "near-open")
+    opened = keep_table(still_open(rooted(members, found)), "near-open")
+    ready = keep_table(still_open(able(opened, sets, percent)), "near-able")
+    forget(members, opened)
+    if not ready.isEmpty():
+        found = joined(keep_table(confirmed(likely(star_pairs(ready, F.col("free") / F.col("n")), reps, percent), sets, percent), "near-links"), found)
+        opened = keep_table(still_open(rooted(ready, found)), "near-open")
         links = keep_table(links_across(opened, sets, percent), "near-links")
+        forget(opened)
         if not links.isEmpty():
             found = joined(links, found)
+    forget(ready, sets)
     owners = reps.select("vertex", "set_id", "owner").join(found, F.col("vertex") == F.col("node"), "left").withColumn("root", F.coalesce("root", "vertex"))
     # Only vertices of links need a group's smallest id; the others have their own.
     linked = found.select("root").union(found.select("node")).distinct().withColumnRenamed("root", "v")

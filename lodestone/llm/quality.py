@@ -19,7 +19,7 @@ from .shared import WORD_GAP, keep_table, text_of
 RATES = {"symbol_rate": (30, False), "dup_line_rate": (100, False), "upper_rate": (100, False), "word_length": (100, True)}
 #: Spreads beyond the quartiles that are still taken as usual.
 REACH = 3
-#: Documents that a group needs for thresholds of its own.
+#: Documents that a group needs for thresholds of its own, by default; a smaller group takes those of its language, or else of the corpus.
 ENOUGH = 50
 
 
@@ -91,25 +91,26 @@ def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     return found.groupBy(*by).agg(F.max("members").alias("members"), *ends)
 
 
-def thresholds(rows: DataFrame) -> DataFrame:
+def thresholds(rows: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """The range of each rate for every language and source among ``rows``."""
     sketch = sketches(rows)
     own, lang, every = fences(sketch, ["lang", "source"]).alias("o"), fences(sketch, ["lang"]).alias("l"), fences(sketch.withColumn("one", F.lit(1)), ["one"]).alias("e")
     groups = rows.select("lang", "source").distinct().withColumn("one", F.lit(1)).alias("g")
     same = lambda a, b, c: F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
     joined = groups.join(own, same("g", "o", "lang") & same("g", "o", "source"), "left").join(lang, same("g", "l", "lang"), "left").join(every, F.col("g.one") == F.col("e.one"), "left")
-    pick = lambda c: F.when(F.col("o.members") >= ENOUGH, F.col(f"o.{c}")).when(F.col("l.members") >= ENOUGH, F.col(f"l.{c}")).otherwise(F.col(f"e.{c}"))
+    pick = lambda c: F.when(F.col("o.members") >= enough, F.col(f"o.{c}")).when(F.col("l.members") >= enough, F.col(f"l.{c}")).otherwise(F.col(f"e.{c}"))
     return joined.select("g.lang", "g.source", *[pick(f"{r}_{end}").alias(f"{r}_{end}") for r in RATES for end in ("low", "high")])
 
 
-def quality_verdicts(docs: DataFrame, *more: str) -> DataFrame:
+def quality_verdicts(docs: DataFrame, *more: str, enough: int = ENOUGH) -> DataFrame:
     """A row for each row of ``docs(doc_id, text, lang, source)``: its counts, rates, base_failed and kept.
 
     Null texts have no word and so fail; null languages and sources are groups of their own.  Rows that repeat
-    count each time.  An empty table gives none, and other columns are ignored.
+    count each time.  An empty table gives none, other columns are ignored, and texts of any length are read whole.  Thresholds are those of the language and source
+    where these have ``enough`` documents that pass the fixed rules.
     """
     rows = keep_table(judged(base_counts(docs, ("lang", "source", *more))), "quality")
-    limits = thresholds(rows)
+    limits = thresholds(rows, enough)
     usual = reduce(
         lambda a, b: a & b,
         [F.col(f"r.{r}") <= F.col(f"t.{r}_high") for r in RATES] + [F.col(f"r.{r}") >= F.col(f"t.{r}_low") for r, (_, low) in RATES.items() if low],

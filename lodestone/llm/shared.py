@@ -45,7 +45,17 @@ def keep_table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``keep_table`` wrote and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "kept_at", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(docs: DataFrame) -> Column:
@@ -107,12 +117,6 @@ def put_file(uri: str, write) -> None:
     system.move(part, path)
 
 
-def get_file(uri: str) -> bytes:
-    system, path = open_store(uri)
-    with system.open_input_stream(path) as f:
-        return f.read()
-
-
 def per_process(key: tuple, make):
     """What ``make`` returned for ``key`` in this Python process, for models that are costly to load for every task."""
     import sys

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import get_file, per_process, put_file, run_dir, text_of
+from .shared import open_store, per_process, put_file, run_dir, text_of
 
 MAGIC = b"LDTOKEN1"
 TAIL = "<QQQQHI8s"
@@ -86,16 +86,29 @@ class Writer:
 
 
 class TokenFile:
-    """Random access to the ids of one file."""
+    """Random access to the ids of one file: the footer is read once, and of the blocks only those that are asked for.
 
-    def __init__(self, data: bytes):
-        blocks, docs, self.n_ids, footer, self.bits, self.block, magic = struct.unpack_from(TAIL, data, len(data) - struct.calcsize(TAIL))
-        if magic != MAGIC or data[: len(MAGIC)] != MAGIC:
+    ``source`` is the file's bytes or an open file with ``size``, ``seek``, ``read`` and ``read_at``.
+    """
+
+    def __init__(self, source):
+        self.file = pa.BufferReader(source) if isinstance(source, (bytes, memoryview)) else source
+        size, tail = self.file.size(), struct.calcsize(TAIL)
+        blocks, docs, self.n_ids, footer, self.bits, self.block, magic = struct.unpack(TAIL, bytes(self.file.read_at(tail, size - tail)))
+        if magic != MAGIC or bytes(self.file.read_at(len(MAGIC), 0)) != MAGIC:
             raise ValueError("not a token file")
-        self.data, self.footer = memoryview(data), footer
-        self.offsets = np.frombuffer(data, "<u8", blocks, footer)
-        self.doc_ids = np.frombuffer(data, "<i8", docs, footer + 8 * blocks)
-        self.starts = np.frombuffer(data, "<u8", docs, footer + 8 * (blocks + docs)).astype(np.int64)
+        lists = bytes(self.file.read_at(8 * (blocks + 2 * docs), footer))
+        self.offsets = np.frombuffer(lists, "<u8", blocks)
+        self.ends = np.append(self.offsets[1:], np.uint64(footer))
+        self.doc_ids = np.frombuffer(lists, "<i8", docs, 8 * blocks)
+        self.starts = np.frombuffer(lists, "<u8", docs, 8 * (blocks + docs)).astype(np.int64)
+        self.held: tuple[int, bytes] = (-1, b"")
+
+    def _block(self, b: int) -> bytes:
+        """The packed block, read unless it is the one that was read last."""
+        if self.held[0] != b:
+            self.held = b, bytes(self.file.read_at(int(self.ends[b] - self.offsets[b]), int(self.offsets[b])))
+        return self.held[1]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from position ``start`` on, read from their blocks alone."""
@@ -103,8 +116,7 @@ class TokenFile:
         while n > 0:
             b, first = divmod(start, self.block)
             take = min(n, self.block - first)
-            end = int(self.offsets[b + 1]) if b + 1 < len(self.offsets) else self.footer
-            parts.append(unpack(bytes(self.data[int(self.offsets[b]) : end]), self.bits, first, take))
+            parts.append(unpack(self._block(b), self.bits, first, take))
             start, n = start + take, n - take
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
@@ -294,7 +306,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, start in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
-                f = TokenFile(get_file(path))
+                system, at = open_store(path)
+                f = TokenFile(system.open_input_file(at))
                 ends = np.append(f.starts[1:], f.n_ids)
                 for k in range(0, len(f.starts), 4096):
                     crc = [zlib.crc32(f.document(d).astype("<u4").tobytes()) for d in range(k, min(k + 4096, len(f.starts)))]
