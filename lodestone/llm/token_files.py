@@ -21,8 +21,8 @@ from .shared import open_store, per_process, put_file, run_dir, text_of
 MAGIC = b"LDTOKEN1"
 TAIL = "<QQQQHI8s"
 BLOCK = 1 << 16
-#: Units of text, and runs of letters or signs, whose ids a task remembers, and as many from before; code points of text that it encodes in one go.
-REMEMBERED, AT_ONCE = 400_000, 1 << 22
+#: Runs of letters or signs whose ids a task remembers, and as many from before; code points of text that it encodes in one go.
+REMEMBERED, AT_ONCE = 250_000, 1 << 22
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -141,13 +141,23 @@ class Memory:
         return new - self.before.keys()
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``at`` of ``flat``, whose stretches have these ``sizes``, one after the other; and where each ends, after a 0."""
+    begins = np.cumsum(sizes) - sizes
+    n = sizes[at]
+    ends = np.r_[0, np.cumsum(n)]
+    steps = np.repeat((begins[at] - ends[:-1]).astype(np.int32), n)  # a few million ids at most
+    steps += np.arange(ends[-1], dtype=np.int32)
+    return flat[steps], ends
+
+
 class UnitEncoder:
-    """The tokenizers library on units of texts, with a memory of the ids of units seen before.
+    """The tokenizers library on the different units of many texts, whose ids are then put together as the texts have them.
 
     A text is cut before each space that a character other than white space follows.  Byte-level
     pre-tokenization never joins the two sides of such a cut, nor does it look across one, so the ids of
     the units in a row are the ids of the whole text.  The pre-tokens of a plain unit, one with single line ends inside at most, are
-    its runs of letters, digits and signs, which go to the library's BPE model, many at once, with line ends between them to tell where
+    its runs of letters, digits and signs.  The different runs, but those remembered, go to the library's BPE model in one call, with line ends between them to tell where
     each one's ids end; any other unit goes through the whole tokenizer.
     """
 
@@ -164,12 +174,13 @@ class UnitEncoder:
         # The same model on pieces that are cut already.
         self.pieces = Tokenizer(self.tokenizer.model)
         self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\x1f")
-        self.units, self.runs_known = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.known = Memory(REMEMBERED)
         self.odd, self.cut = re.compile(r" (?:\s|\Z)").search, re.compile(r" (?=\S)").split
         # Letters up to U+02AF, digits, and ASCII signs but for the apostrophe and "<", which start contractions and special tokens.
         runs = "[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u02AF]+", "[0-9]+", r"[!-&(-/:;=>?@\[-`{-~]+"
         any_run = "(?:" + "|".join(runs) + ")+"
-        self.plain, self.runs = re.compile(f"{any_run}(?:\n{any_run})*").fullmatch, re.compile("|".join([*(f" ?{r}" for r in runs), "\n"])).findall
+        self.plain = f"^{any_run}(?:\n{any_run})*$"
+        self.runs = re.compile("|".join([*(f" ?{r}" for r in runs), "\n", "\0"])).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100 on
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
         self.line_end = self.tokenizer.token_to_id(self.byte_chars[10])
@@ -185,20 +196,20 @@ class UnitEncoder:
         data, ends = ids.tobytes(), np.flatnonzero(ids == self.line_end).tolist()
         return [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Remember the ids of units that are not known yet."""
-        plain = [u for u in fresh if self.plain(u)]
-        runs = [self.runs(" " + u) for u in plain]
-        known = self.runs_known
-        new = [*known.fresh(set().union(*runs) - {"\n"})]
-        if new:
-            known.now.update(zip(new, self._runs(new), strict=True))
-        known.now["\n"] = np.array([self.line_end], "<u4").tobytes()
-        ids = known.now.__getitem__
-        units = self.units.now
-        units.update(zip(plain, [b"".join(map(ids, r)) for r in runs], strict=True))
-        for u in fresh.difference(plain):
-            units[u] = self._whole(" " + u)
+    def _plain(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain units one after the other, and how many each has."""
+        if not len(units):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        found = pa.array(self.runs("\0 " + "\0 ".join(units.to_pylist())), pa.large_string()).dictionary_encode()
+        names = found.dictionary.to_pylist()
+        special = {"\0": b"", "\n": np.array([self.line_end], "<u4").tobytes()}
+        if new := [*self.known.fresh(set(names) - special.keys())]:
+            self.known.now.update(zip(new, self._runs(new), strict=True))
+        data = [special[r] if r in special else self.known.now[r] for r in names]
+        at = found.indices.to_numpy(zero_copy_only=False)
+        ids, ends = gathered(np.frombuffer(b"".join(data), "<u4"), np.fromiter(map(len, data), np.int64, len(data)) // 4, at)
+        starts = np.flatnonzero(at == names.index("\0"))
+        return ids, np.diff(np.r_[ends[starts], ends[-1]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -209,24 +220,23 @@ class UnitEncoder:
         even = sorted({*range(len(texts))}.difference(odd))
         split = [pc.split_pattern(pa.array([texts[k] for k in even], pa.large_string()), " ").cast(kind), pa.array([self.cut(texts[k]) for k in odd], kind)]
         units = pa.concat_arrays(split)
-        counts = pc.list_value_length(units).to_numpy(zero_copy_only=False)
+        first = np.r_[0, np.cumsum(pc.list_value_length(units).to_numpy(zero_copy_only=False))]
         values = units.flatten()
-        first = np.r_[0, np.cumsum(counts)]
         tail = np.ones(len(values), bool)
         tail[first[:-1]] = False  # the first unit has no space before it
         heads = values.take(pa.array(first[:-1])).to_pylist()
         found = values.filter(pa.array(tail)).dictionary_encode()
-        names = found.dictionary.to_pylist()
-        if fresh := self.units.fresh(set(names)):
-            self._learn(fresh)
-        data = [*map(self.units.now.__getitem__, names)]
-        flat = np.frombuffer(b"".join(data), "<u4")
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        begins = np.cumsum(sizes) - sizes
-        at = found.indices.to_numpy(zero_copy_only=False)
-        n = sizes[at]
-        ends = np.r_[0, np.cumsum(n)]
-        ids = flat[np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])]
+        del units, values, split
+        is_plain = pc.match_substring_regex(found.dictionary, self.plain) if len(found.dictionary) else pa.array([], pa.bool_())
+        others = [self._whole(" " + u) for u in found.dictionary.filter(pc.invert(is_plain)).to_pylist()]
+        ids, sizes = self._plain(found.dictionary.filter(is_plain))
+        # Plain units come first in what the ids are gathered from, then the others.
+        plain = is_plain.to_numpy(zero_copy_only=False).astype(bool)
+        place = np.empty(len(plain), np.int64)
+        place[plain], place[~plain] = np.arange(plain.sum()), plain.sum() + np.arange((~plain).sum())
+        flat = np.concatenate([ids, np.frombuffer(b"".join(others), "<u4")])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, others), np.int64, len(others)) // 4])
+        ids, ends = gathered(flat, sizes, place[found.indices.to_numpy(zero_copy_only=False)])
         cuts = ends[first - np.arange(len(first))]
         out: list[np.ndarray] = [None] * len(texts)
         for k, h, a, b in zip([*even, *odd], heads, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
