@@ -19,7 +19,8 @@ def sample_quotes(docs: DataFrame, n: int, low: int = 50, high: int = 500, categ
     fit = docs.filter(F.length("text").between(low, high))
     many = fit.agg(F.countDistinct(category).alias("many"))
     order = Window.partitionBy(category).orderBy(lot("doc_id", seed=seed), "doc_id")
-    return fit.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(many)).filter(F.col("place") <= F.floor(F.lit(n) / F.col("many"))).drop("many")
+    # No category gives more than ``n``, so the window keeps that many in each task before the shuffle.
+    return fit.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).crossJoin(F.broadcast(many)).filter(F.col("place") <= F.floor(F.lit(n) / F.col("many"))).drop("many")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
@@ -163,7 +164,7 @@ def balanced(positive: DataFrame, negative: DataFrame, n: int, part: float = 0.3
     shares = shares or {"easy": 0.3, "medium": 0.4, "hard": 0.3}
     wanted = int(n * part)
     quota = F.coalesce(F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, int(wanted * v))])[F.col("difficulty")], F.lit(0))
-    placed = positive.withColumn("lot", lot("doc_id", "query", seed=seed)).withColumn("place", F.row_number().over(Window.partitionBy("difficulty").orderBy("lot", "doc_id", "query")))
+    placed = positive.withColumn("lot", lot("doc_id", "query", seed=seed)).withColumn("place", F.row_number().over(Window.partitionBy("difficulty").orderBy("lot", "doc_id", "query"))).filter(F.col("place") <= wanted)
     # First what the shares ask for, then the rest in order.
     first = placed.withColumn("late", F.col("place") > quota)
     taken = first.orderBy("late", "lot", "doc_id", "query").limit(wanted).drop("lot", "place", "late")

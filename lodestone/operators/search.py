@@ -188,10 +188,26 @@ def match_context(docs: DataFrame, hits: DataFrame, reach: int = 5) -> DataFrame
 # Dense vectors
 
 
+#: Queries with vectors that go to every task together; more of them are dealt out with shares of the vectors.
+SENT, SHARES = 2048, 64
+
+
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` vectors (doc_id, v) for each query (query_id, q); of equal ones the larger id.  Queries are few and go to every task."""
+    """The best ``k`` vectors (doc_id, v) for each query (query_id, q); of equal ones the larger id.
+
+    Up to ``SENT`` queries go to every task.  More meet the vectors in blocks: a block of queries and a share of the vectors are a task's work.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v")))).join(queries.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q")))), F.lit(True))
+    left = vectors.withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))
+    right = queries.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
+    n = queries.count()
+    if n <= SENT:
+        pairs = left.join(F.broadcast(right), F.lit(True))
+    else:
+        blocks = -(-n // SENT)
+        upto = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        dealt = right.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("share", upto(SHARES))
+        pairs = left.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")).withColumn("block", upto(blocks)).join(dealt, ["block", "share"])
     scored = pairs.select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

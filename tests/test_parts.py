@@ -213,3 +213,13 @@ def test_prompt_holds_all_passages(spark):
     hits = spark.createDataFrame([(1, k, "q", f"passage {k}", k) for k in range(1, 4)], "query_id long, doc_id long, query string, text string, rank int")
     row = answers.prompts(hits).first()
     assert row.doc_ids == [1, 2, 3] and all(f"{k}. passage {k}" in row.prompt for k in (1, 2, 3)) and json.loads(answers.FORM)
+
+
+def test_cosine_in_blocks(spark, monkeypatch):
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    v = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    q = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = lambda: sorted(map(str, search.cosine_search(v, q, 5).collect()))
+    sent = rows()
+    monkeypatch.setattr(search, "SENT", 4)
+    assert rows() == sent and len(sent) == 5 * q.count()
