@@ -24,8 +24,10 @@ def fit_forest(rows: DataFrame, features: list[str], trees: int = 100, depth: in
     return Pipeline(stages=[assembler(features), RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)]).fit(rows)
 
 
-def fit_boosted(rows: DataFrame, features: list[str], rounds: int = 200, depth: int = 6, step: float = 0.1, seed: int = 42) -> PipelineModel:
-    return Pipeline(stages=[assembler(features), GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed)]).fit(rows)
+def fit_boosted(rows: DataFrame, features: list[str], rounds: int = 200, depth: int = 6, step: float = 0.1, seed: int = 42, held: str | None = None) -> PipelineModel:
+    """``rounds`` trees; with ``held``, a column that is true for rows held back, it stops once these do not gain from another one."""
+    boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed)
+    return Pipeline(stages=[assembler(features), boosted.setValidationIndicatorCol(held) if held else boosted]).fit(rows)
 
 
 def fit_pairwise(rows: DataFrame, features: list[str], rounds: int = 100) -> PipelineModel:
