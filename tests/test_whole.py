@@ -103,3 +103,20 @@ def test_simple_search_and_holding(spark):
     items = [(k, d[1][a : a + n]) for k, (d, a, n) in enumerate((r.choice(docs[:60]), r.randint(0, 9), r.randint(1, 25)) for _ in range(40))]
     held = {(k, d) for k, t in items for d, text in docs if t.split() and t in (text or "")}
     assert {tuple(x) for x in search.holding(corpus, spark.createDataFrame(items, "query_id long, item string")).collect()} == held
+
+
+def test_graph_queries_within_little_memory():
+    # In a session of its own: its sorts and aggregates take pages of a power of two, and at this size a task has few of them.
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config(map={{"spark.driver.memory": "1200m", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"}}).getOrCreate()
+from lodestone import queries
+print("ROWS", *[len(queries.QUERIES[n](spark, "{SMALL}").collect()) for n in ("kg_rerank", "kg_features")])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert "ROWS 200 200" in found.stdout, found.stderr[-2000:]
