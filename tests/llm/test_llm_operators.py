@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -74,6 +75,42 @@ def test_token_files(spark):
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
+def made_words(n, seed):
+    r, parts = random.Random(seed), ["th", "on", "er", "tion", "é", "ing", "st", "ou", "ble", "qu", "ñ", "an"]
+    return ["".join(r.choices(parts, k=r.randint(1, 5))) + r.choice(["", "", "", "", ",", ".", "?!", "\n", ".\nTh", "7", "'s", "-a"]) for _ in range(n)]
+
+
+def test_remembered_units(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    encoder = token_files.UnitEncoder(path)
+    extra = ["", "a", ".", " .", ".. ,, ;", "a,b a, ,a 1, 1. .1 1a", "x\x00 y\x00, \x00", "<a> a< a'", "\n \n\n a\n", "ʯ ʰ ß, ×÷ é!", "12 12. 1\n2 a\n,", "  a  b"]
+    for k in range(8):
+        words = made_words(300, k)
+        texts = [" ".join(words[a : a + 30]) for a in range(0, 300, 30)] + extra[k:] + ["z,"]
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_known_words_cost_a_part_of_the_library(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.UnitEncoder(path)
+    words = made_words(700_000, 9)
+    texts = [" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+
+    def seconds(f):
+        best = []
+        for part in (texts[:350], texts[350:]):
+            encoder.encode(part)
+            began = time.process_time()
+            f(part)
+            best.append(time.process_time() - began)
+        return min(best)
+
+    assert seconds(encoder.encode) < 0.45 * seconds(lambda part: [np.array(e.ids, "<u4") for e in library.encode_batch_fast(part, add_special_tokens=False)])
+
+
 def brute_phrases(rows, window):
     first = {}
     key = lambda i: 2**63 - 1 if i is None else i
