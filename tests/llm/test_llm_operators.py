@@ -268,6 +268,28 @@ def test_exact(spark):
     assert Counter((r.doc_id, r.keep_id, r.group_size) for r in weak.collect()) == Counter({k[:3]: n for k, n in _sum(expected).items()})
 
 
+def test_exact_large_group(spark, monkeypatch):
+    rows = [(k, "a b  c" if k % 3 else "a  bc", "s") for k in range(3000)] + [(k, f"d {k // 2}", "s") for k in range(3000, 3060)]
+    monkeypatch.setattr(exact, "SHARE", 50)
+    docs = documents(spark, rows)
+    hits = []
+    monkeypatch.setattr(exact, "bytes_differ", lambda d, h, f=exact.bytes_differ: hits.append((d, h)) or f(d, h))
+    assert Counter((r.keep_id, r.group_size) for r in exact.exact_groups(docs).collect()) == Counter({(1, 3000): 3000, **{(k, 2): 2 for k in range(3000, 3060, 2)}})
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        read = [r["count"] for r in exact.compared(*hits[0]).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(read) == 2999 + 30 and max(read) < 0.25 * sum(read)
+    # One of a large group under a digest that collides.
+    weak = exact.exact_groups(documents(spark, [*rows[:3000], (9000, "other", "s")]), lambda data: "x")
+    assert Counter((r.keep_id, r.group_size) for r in weak.collect()) == Counter({(1, 3000): 3000, (9000, 1): 1})
+
+
 def _sum(counter):
     out = Counter()
     for k, n in counter.items():
