@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import work_of
 from ..functions.text import normal_form, query_form
-from ..operators import answers, graph, metrics, models, pairs, search
+from ..operators import answers, graph, metrics, models, pairs, scans, search
 from ..sources import tables
 
 
@@ -52,7 +52,7 @@ class Engine:
     def retrieve(self, queries: DataFrame, first: int = 100, second: int = 10, third: int = 1) -> DataFrame:
         """The confirmed hits of each query; ranks of a model if there is one, else of stage one."""
         hits = self.search(queries, first).filter(F.col("rank") <= second)
-        full = hits.join(self.docs.select("doc_id", "text", F.col("source").alias("work"), F.col("lang").alias("category")), "doc_id").join(queries, "query_id")
+        full = scans.few(hits, queries).join(self.docs.select("doc_id", "text", F.col("source").alias("work"), F.col("lang").alias("category")), "doc_id").join(queries, "query_id")
         if self.model is None:
             scored = models.untrained(full)
         else:
@@ -72,7 +72,7 @@ class Engine:
         """
         asked = queries.select("query_id", normal_form(F.col("query")).alias("query"))
         about = self.docs.select("doc_id", "text", work_of(F.col("source"), F.col("lang")).alias("about")) if "lang" in self.docs.columns else self.docs.select("doc_id", "text", work_of(F.lit(""), F.lit("")).alias("about"))
-        hits = self.search(asked, k).join(about, "doc_id").join(asked, "query_id")
+        hits = scans.few(self.search(asked, k), asked).join(about, "doc_id").join(asked, "query_id")
         hits = answers.by_model_first(answers.scored(hits, ask, most=rescored)) if ask else hits.withColumn("llm_score", F.lit(None).cast("double"))
         counted = hits.withColumn("total_found", F.count("*").over(Window.partitionBy("query_id"))).withColumns({"total_returned": F.least(F.lit(shown), F.col("total_found")), "llm_enhanced": F.lit(ask is not None)})
         return counted.filter(F.col("rank") <= shown).select("query_id", "rank", "doc_id", "text", "score", "llm_score", "about.work", "about.author", "about.category", "total_found", "total_returned", "llm_enhanced")
