@@ -21,7 +21,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, synonyms: dict[str, list[str]] = search.SYNONYMS, model: PipelineModel | None = None, names: DataFrame | None = None, edges: DataFrame | None = None, entity_works: DataFrame | None = None):
         self.spark, self.synonyms, self.model = spark, synonyms, model
-        self.docs = search.valid(docs).withColumn("text", query_form(F.col("text")))
+        # A search goes through the texts several times; their form is made once.
+        self.docs = search.valid(docs).withColumn("text", query_form(F.col("text"))).persist()
         self.raw = docs
         self.names, self.edges, self.entity_works = names, edges, entity_works
         self.index: dict[str, DataFrame] | None = None
